@@ -26,7 +26,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -37,8 +39,10 @@ from pyspark.sql import types as T
 LEAF = 1 << 16
 #: Characters of a run without white space above which it is cut inside a leaf, too.
 RUN = 1 << 12
-#: Chunks that a worker remembers.
-MEMO = 300_000
+#: Chunks of a generation of a worker's memo; it has two.
+MEMO = 150_000
+#: Ids that are decoded at a time.
+SLICE = 1 << 20
 #: Tokens on each side of a join that are first encoded anew.
 WINDOW = 4
 
@@ -59,7 +63,8 @@ def _kind(c: str) -> str:
 class Encoder:
     """Encodes texts with one tokenizer file. Holds a bounded memo; one per Python worker."""
 
-    WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
+    #: A word of letters that no normaliser changes but for their case, between ASCII punctuation without an apostrophe.
+    WORD = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
     def __init__(self, path: str, memo: int = MEMO, run: int = RUN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,13 +75,16 @@ class Encoder:
         self.tok.no_padding()
         with open(path, encoding="utf-8") as f:
             self.spec = json.load(f)
-        self.limit, self.run = memo, run
+        self.path, self.limit, self.run = path, memo, run
         self.memo: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.old_memo: dict[str, bytes] = {}
+        self.old_cores: dict[str, bytes] = {}
         self.suffix = self.spec["model"].get("end_of_word_suffix") or ""
         self.specials = [t["content"] for t in self.spec["added_tokens"]]
         self.cuts = self._cuts()
-        self._models = None
+        self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
+        self._models = self.spec = None  # the vocabulary and merges are read again if a long run needs them
 
     def _cuts(self) -> bool:
         """Whether the file's steps are those for which cutting at white space is known to be exact."""
@@ -97,9 +105,8 @@ class Encoder:
         )
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        return [_bytes(e.ids) for e in batch(texts, add_special_tokens=False)]
 
     # -- joins -------------------------------------------------------------
 
@@ -109,7 +116,8 @@ class Encoder:
         if self._models is None:
             from tokenizers.models import BPE
 
-            m = self.spec["model"]
+            with open(self.path, encoding="utf-8") as f:
+                m = json.load(f)["model"]
             merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]]
             plain = BPE(vocab=m["vocab"], merges=merges)
             ends = BPE(vocab=m["vocab"], merges=merges, end_of_word_suffix=self.suffix) if self.suffix else plain
@@ -231,15 +239,18 @@ class Encoder:
         for c in missing:
             if len(c) > self.run:
                 self.memo[c] = np.array(self._chunk(c, True), dtype="<u4").tobytes()
-            elif m := self.WORD.match(c):
-                words.append((c, m[1].lower(), m[2]))
+            elif (m := self.WORD.match(c)) and not (self.special and self.special.search(c)):
+                words.append((c, m[1], m[2].lower(), m[3]))
             else:
                 short.append(c)
-        new = list({w for _, core, end in words for w in (core, end) if w and w not in self.cores})
+        new = {w for _, *parts in words for w in parts}.difference(self.cores)
+        again = new & self.old_cores.keys()
+        self.cores.update((w, self.old_cores[w]) for w in again)
+        new = list(new - again)
         self.cores.update(zip(new, self._library(new), strict=True))
         self.cores[""] = b""
-        for c, core, end in words:
-            self.memo[c] = self.cores[core] + self.cores[end]
+        for c, start, core, end in words:
+            self.memo[c] = self.cores[start] + self.cores[core] + self.cores[end]
         self.memo.update(zip(short, self._library(short), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -251,17 +262,25 @@ class Encoder:
         missing.discard("")
         self.memo[""] = b""
         if missing:
-            self._learn(list(missing))
+            again = missing & self.old_memo.keys()
+            self.memo.update((c, self.old_memo[c]) for c in again)
+            self._learn(list(missing - again))
         get = self.memo.__getitem__
         out = [b"".join(map(get, c)) for c in chunks]
         if len(self.memo) > self.limit:
-            recent = set().union(*chunks[-64:])
-            self.memo = {c: i for c, i in self.memo.items() if c in recent and len(c) < 64}
+            self.old_memo, self.memo = self.memo, {}
         if len(self.cores) > self.limit:
-            self.cores = {}
+            self.old_cores, self.cores = self.cores, {}
         return out
 
 
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -272,11 +291,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _batches(column, most: int = 1 << 22) -> Iterator[tuple[int, list[str]]]:
+def _batches(column, most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
     """Slices of an Arrow column of texts, of bounded size."""
     at, part, size = 0, [], 0
-    for i, t in enumerate(column.to_pylist()):
-        part.append(t or "")
+    for i, x in enumerate(column):
+        part.append(x.as_py() or "")
         size += len(part[-1])
         if size > most:
             yield at, part
@@ -358,19 +377,33 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None, name:
     with open(path, encoding="utf-8") as f:
         decoder = json.load(f).get("decoder")
 
+    names = [f.name for f in schema.fields if f.name != name]
+
     def run(batches):
+        import numpy as np
         import pyarrow as pa
+        from tokenizers import Tokenizer
 
-        tok = encoder(path).tok
-        known: list[str | None] = [tok.id_to_token(i) for i in range(tok.get_vocab_size(with_added_tokens=True))]
+        tok = Tokenizer.from_file(path)
+        known = np.array([tok.id_to_token(i) for i in range(tok.get_vocab_size(with_added_tokens=True))], dtype=object)
+        joins = decoder is None and None not in known
         for b in batches:
-            lists = b.column(ids).to_pylist()
-            if decoder is None and None not in known:
-                get = known.__getitem__
-                out = [None if x is None else " ".join(map(get, x)) for x in lists]
-            else:
-                out = [None if x is None else tok.decode(x, skip_special_tokens=False) for x in lists]
-            b = b.select([f.name for f in schema.fields if f.name != name])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, name])
+            lists = b.column(ids)
+            ends = np.asarray(lists.offsets)
+            at = 0
+            while at < len(b):  # slices of a bounded number of ids
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE)) - 1)
+                out = []
+                for i in range(at, min(to, len(b))):
+                    x = lists[i]
+                    if not x.is_valid:
+                        out.append(None)
+                    elif joins:
+                        out.append(" ".join(known[x.values.to_numpy(zero_copy_only=False)].tolist()))
+                    else:
+                        out.append(tok.decode(x.as_py(), skip_special_tokens=False))
+                rest = b.select(names).slice(at, len(out))
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, pa.string())], names=[*names, name])
+                at += len(out)
 
     return encoded.mapInArrow(run, schema)
