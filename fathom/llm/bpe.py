@@ -40,9 +40,9 @@ LEAF = 1 << 16
 #: Characters of a run without white space above which it is cut inside a leaf, too.
 RUN = 1 << 12
 #: Chunks of a generation of a worker's memo; it has two.
-MEMO = 150_000
-#: Ids that are decoded at a time.
-SLICE = 1 << 20
+MEMO = 100_000
+#: Characters of decoded text that are held at a time.
+SLICE = 1 << 22
 #: Tokens on each side of a join that are first encoded anew.
 WINDOW = 4
 
@@ -304,8 +304,39 @@ def _batches(column, most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
         yield at, part
 
 
-def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, packed: bool = False, leaf: int = LEAF) -> DataFrame:
-    """The columns named in keep and ``ids``: array<int>, or little-endian 32-bit numbers as binary if packed."""
+class Decoder:
+    """Texts of ids, as the library's decode gives them with special tokens kept."""
+
+    def __init__(self, path: str):
+        import numpy as np
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            plain = json.load(f).get("decoder") is None
+        self.tok = Tokenizer.from_file(path)
+        self.known = np.array([self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size(with_added_tokens=True))], dtype=object)
+        self.joins = plain and None not in self.known
+
+    def text(self, ids) -> str:
+        """ids: an array of integers. Without a decoder in the file the library puts a space between tokens."""
+        return " ".join(self.known[ids].tolist()) if self.joins else self.tok.decode(ids.tolist(), skip_special_tokens=False)
+
+
+_decoders: dict[str, Decoder] = {}
+
+
+def decoder(path: str) -> Decoder:
+    if path not in _decoders:
+        _decoders.clear()
+        _decoders[path] = Decoder(path)
+    return _decoders[path]
+
+
+def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, packed: bool = False, decoded: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """The columns named in keep and ``ids``: array<int>, or little-endian 32-bit numbers as binary if packed.
+
+    decoded: name of a further column with the ids' text again, made in the same pass.
+    """
     path = path or default_path()
     kept = [docs[c].alias(f"k{i}") for i, c in enumerate(keep)]
     base = docs.select(*kept, docs[text].alias("x"))
@@ -322,13 +353,16 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
 
     def whole(batches):
+        import numpy as np
         import pyarrow as pa
 
         enc = encoder(path)
         for b in batches:
             for at, part in _batches(b.column("x")):
                 rest = b.drop_columns(["x"]).slice(at, len(part))
-                yield pa.RecordBatch.from_arrays([*rest.columns, arrow(enc.encode(part))], names=[*rest.schema.names, "ids"])
+                ids = enc.encode(part)
+                back = [pa.array([decoder(path).text(np.frombuffer(x, dtype="<u4")) for x in ids], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*rest.columns, arrow(ids), *back], names=[*rest.schema.names, "ids", *["decoded"] * len(back)])
 
     def cut(frames):
         import pyarrow as pa
@@ -357,7 +391,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
         return pd.DataFrame({"row": pdf.row.iloc[:1], "joined": [np.array(ids, dtype="<u4").tobytes()]})
 
     long = F.length("x") > leaf
-    short = base.where(~F.coalesce(long, F.lit(False))).mapInArrow(whole, T.StructType([*fields, made]))
+    short = base.where(~F.coalesce(long, F.lit(False))).mapInArrow(whole, T.StructType([*fields, made, *[T.StructField("decoded", T.StringType())] * bool(decoded)]))
     rows = base.where(long).withColumn("row", F.monotonically_increasing_id())
     leaves = rows.select("row", "x").mapInArrow(cut, "row long, n int, part string, hard boolean").repartition("row", "n")
     whole_ids = leaves.mapInArrow(parts, "row long, n int, hard boolean, part_ids binary").groupBy("row").applyInPandas(joined, "row long, joined binary")
@@ -367,43 +401,35 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
         )
     names = [f"k{i}" for i in range(len(keep))]
     tall = rows.drop("x").join(whole_ids, "row").select(*names, F.col("joined").alias("ids"))
-    return short.union(tall).toDF(*keep, "ids")
+    if decoded:
+        tall = decode(tall, "ids", path, "decoded", packed)
+    return short.union(tall).toDF(*keep, "ids", *[decoded] * bool(decoded))
 
 
-def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None, name: str = "decoded") -> DataFrame:
-    """encoded with the text of its array of ids added; null ids give null."""
+def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None, name: str = "decoded", packed: bool = False) -> DataFrame:
+    """encoded with the text of its ids added; null ids give null. packed: ids are binary, as encode() packs them."""
     path = path or default_path()
-    schema = T.StructType([*(f for f in encoded.schema.fields if f.name != name), T.StructField(name, T.StringType())])
-    with open(path, encoding="utf-8") as f:
-        decoder = json.load(f).get("decoder")
-
-    names = [f.name for f in schema.fields if f.name != name]
+    names = [c for c in encoded.columns if c != name]
+    schema = T.StructType([*(encoded.schema[c] for c in names), T.StructField(name, T.StringType())])
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        known = np.array([tok.id_to_token(i) for i in range(tok.get_vocab_size(with_added_tokens=True))], dtype=object)
-        joins = decoder is None and None not in known
+        dec = decoder(path)
         for b in batches:
-            lists = b.column(ids)
-            ends = np.asarray(lists.offsets)
-            at = 0
-            while at < len(b):  # slices of a bounded number of ids
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE)) - 1)
-                out = []
-                for i in range(at, min(to, len(b))):
-                    x = lists[i]
-                    if not x.is_valid:
-                        out.append(None)
-                    elif joins:
-                        out.append(" ".join(known[x.values.to_numpy(zero_copy_only=False)].tolist()))
-                    else:
-                        out.append(tok.decode(x.as_py(), skip_special_tokens=False))
-                rest = b.select(names).slice(at, len(out))
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, pa.string())], names=[*names, name])
-                at += len(out)
+            rows, out, size, at = b.column(ids), [], 0, 0
+            for i, x in enumerate(rows, 1):
+                if not x.is_valid:
+                    out.append(None)
+                elif packed:
+                    out.append(dec.text(np.frombuffer(x.as_py(), dtype="<u4")))
+                else:
+                    out.append(dec.text(x.values.to_numpy(zero_copy_only=False)))
+                size += len(out[-1] or "")
+                if size > SLICE or i == len(rows):  # a bounded amount of text at a time
+                    rest = b.select(names).slice(at, len(out))
+                    yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, pa.string())], names=[*names, name])
+                    out, size, at = [], 0, i
 
     return encoded.mapInArrow(run, schema)
