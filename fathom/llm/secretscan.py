@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh, written
+
 #: Kinds in the order in which equal starts are listed: pattern, and least length of a match or, for assign, of its second group.
 ASSIGN = "(?:(?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 KINDS = ("assign", "access", "hex", "random")
@@ -131,8 +133,6 @@ def _hits(docs: DataFrame, kind: str) -> DataFrame:
 
 def spans(docs: DataFrame, text: str = "text", row: str = "row") -> DataFrame:
     """(row, kind, start, end): all spans of the texts, which `row` tells apart; kind is the place in KINDS."""
-    from .common import written
-
     body = docs.select(F.col(row).alias("row"), F.col(text).alias("t"))
     hits = None
     for kind in KINDS:
@@ -179,17 +179,18 @@ def digests(found: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, doc: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs, with each span in the text replaced by mark; texts without a span, null among them, stay as they are."""
-    rows = docs.withColumn("secret_row", F.monotonically_increasing_id())
-    found = spans(rows.select("secret_row", F.coalesce(text, F.lit("")).alias("t")), "t", "secret_row")
+    row, cuts = fresh(docs, "secret_row"), fresh(docs, "secret_cuts")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    found = spans(rows.select(row, F.coalesce(F.col(text), F.lit("")).alias("t")), "t", row)
     # spans that overlap or touch are one: a span begins where nothing before reaches it
     by = Window.partitionBy("row").orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     run = found.withColumn("new", F.when(F.coalesce(reach, F.lit(-1)) < F.col("start"), 1).otherwise(0))
     run = run.withColumn("n", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     runs = run.groupBy("row", "n").agg(F.min("start").alias("a"), F.max("end").alias("b")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("cuts"))
-    met = rows.join(runs.select(F.col("row").alias("secret_row"), "cuts"), "secret_row", "left")
-    tail = F.lit(1 << 30)
-    gaps = F.transform("cuts", lambda c, i: F.substring(F.col(text), (F.when(i > 0, F.get("cuts", i - 1)["b"]).otherwise(0) + 1).cast("int"), (c["a"] - F.when(i > 0, F.get("cuts", i - 1)["b"]).otherwise(0)).cast("int")))
-    last = F.substring(F.col(text), (F.element_at("cuts", -1)["b"] + 1).cast("int"), tail)
-    new = F.when(F.col("cuts").isNull(), F.col(text)).otherwise(F.array_join(F.concat(gaps, F.array(last)), mark))
+    met = rows.join(runs.select(F.col("row").alias(row), F.col("cuts").alias(cuts)), row, "left")
+    before = lambda i: F.when(i > 0, F.get(cuts, i - 1)["b"]).otherwise(0)
+    gaps = F.transform(cuts, lambda c, i: F.substring(F.col(text), (before(i) + 1).cast("int"), (c["a"] - before(i)).cast("int")))
+    last = F.substring(F.col(text), (F.element_at(cuts, -1)["b"] + 1).cast("int"), F.lit(1 << 30))
+    new = F.when(F.col(cuts).isNull(), F.col(text)).otherwise(F.array_join(F.concat(gaps, F.array(last)), mark))
     return met.withColumn(text, new).select(*docs.columns)

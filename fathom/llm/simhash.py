@@ -31,8 +31,9 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import written
+from .common import fresh, partitions, written
 from .components import components
 
 SHINGLE, MOST, SEED = 4, 4, 42
@@ -42,8 +43,8 @@ BLOCK = 4096
 TABLE = 16
 
 
-def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc, fp long). A bit is 1 if it is set in over half of the shingles' XXH64."""
+def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(doc, *keep, fp long). A bit is 1 if it is set in over half of the shingles' XXH64."""
 
     def run(batches):
         import numpy as np
@@ -66,10 +67,13 @@ def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", shing
             return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(map(one, b.column("x").to_pylist()), pa.int64())], names=["doc", "fp"])
+            rest = b.drop_columns(["x"])
+            fps = pa.array((one(t.as_py()) for t in b.column("x")), pa.int64())
+            yield pa.RecordBatch.from_arrays([*rest.columns, fps], names=[*rest.schema.names, "fp"])
 
-    kind = docs.schema[doc].dataType.simpleString()
-    return docs.select(F.col(doc).alias("doc"), F.col(text).alias("x")).mapInArrow(run, f"doc {kind}, fp long").toDF(doc, "fp")
+    names = [doc, *keep]
+    schema = T.StructType([*(T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(names)), T.StructField("fp", T.LongType())])
+    return docs.select(*(docs[c].alias(f"k{i}") for i, c in enumerate(names)), docs[text].alias("x")).mapInArrow(run, schema).toDF(*names, "fp")
 
 
 def pivots(n: int):
@@ -146,7 +150,7 @@ def links(fps: DataFrame, most: int = MOST, n: int | None = None, block: int = B
         e = np.array(edges, dtype="u8").reshape(-1, 2).view("i8")
         return pd.DataFrame({"u": e[:, 0], "v": e[:, 1]})
 
-    dealt = fps.repartition(4 * 1 + _tasks(fps), "fp").mapInArrow(deal, "pivot int, fp long, r byte, d byte, home boolean")
+    dealt = fps.repartition(partitions(fps.sparkSession) + 4, "fp").mapInArrow(deal, "pivot int, fp long, r byte, d byte, home boolean")
     if pieces == 1:
         dealt = dealt.withColumn("piece", F.lit(0))
     else:  # the home rows of a pivot are split by a hash; what visits the pivot visits every part
@@ -156,27 +160,25 @@ def links(fps: DataFrame, most: int = MOST, n: int | None = None, block: int = B
     return dealt.groupBy("pivot", "piece").applyInPandas(meet, "u long, v long")
 
 
-def _tasks(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
-    """(doc, fp, component_id): component_id is the smallest id of the class."""
-    marks = written(fingerprints(docs, doc, text), "fingerprints")
+def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", most: int = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, *keep, fp, component_id): component_id is the smallest id of the class."""
+    marks = written(fingerprints(docs, doc, text, keep), "fingerprints")
     groups = written(marks.groupBy("fp").agg(F.min(doc).alias("least")), "distinct-fingerprints")
     roots = components(links(groups, most))
     owner = groups.join(roots, groups.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     owner = written(owner, "roots")
     named = owner.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = owner.join(named, "root").select("fp", "component_id")
-    return marks.join(of, "fp").select(doc, "fp", "component_id")
+    of = owner.join(named, "root").select("fp", "component_id", "root")
+    return marks.join(of, "fp").select(doc, *keep, "fp", "component_id", "root")
 
 
 def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
-    """docs with one row of each class: that of the smallest id; of rows with equal ids one."""
-    kept = classes(docs, doc, text, most).where(F.col(doc).eqNullSafe(F.col("component_id"))).select(F.col(doc).alias("kept_id")).distinct()
-    rows = docs.join(kept, docs[doc].eqNullSafe(kept.kept_id), "left_semi")
-    return rows.dropDuplicates([doc])
+    """docs with one row of each class: that of the smallest id, nulls last; of rows with that id the first."""
+    row = fresh(docs, "simhash_row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    of = classes(rows, doc, text, most, (row,))
+    first = of.groupBy("root").agg(F.min(F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("id"), F.col(row).alias("row"))).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def hexed(fp):
