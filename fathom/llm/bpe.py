@@ -83,6 +83,8 @@ class Encoder:
         self.suffix = self.spec["model"].get("end_of_word_suffix") or ""
         self.specials = [t["content"] for t in self.spec["added_tokens"]]
         self.cuts = self._cuts()
+        letters = [c for c in map(chr, range(0xC0, 0x100)) if c.isalpha()]
+        self.mapped = {ord(c): "".join(p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(c)) for c in letters} if self.cuts else {}
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self._models = self.spec = None  # the vocabulary and merges are read again if a long run needs them
 
@@ -101,6 +103,7 @@ class Encoder:
             and not pre[1]["use_regex"]
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"]) for t in s["added_tokens"])
             and not s.get("post_processor")
+            and s["model"]["type"] == "BPE"
             and s["model"]["dropout"] is None
         )
 
@@ -235,22 +238,23 @@ class Encoder:
     def _learn(self, missing: list[str]) -> None:
         import numpy as np
 
-        short, words = [], []
+        short, words, match, special, run = [], [], self.WORD.match, self.special, self.run
         for c in missing:
-            if len(c) > self.run:
+            if len(c) > run:
                 self.memo[c] = np.array(self._chunk(c, True), dtype="<u4").tobytes()
-            elif (m := self.WORD.match(c)) and not (self.special and self.special.search(c)):
-                words.append((c, m[1], m[2].lower(), m[3]))
+            elif (m := match(c)) and not (special and "<" in c and special.search(c)):
+                start, core, end = m.groups()
+                words.append((c, start, core.lower(), end))
             else:
                 short.append(c)
-        new = {w for _, *parts in words for w in parts}.difference(self.cores)
-        again = new & self.old_cores.keys()
-        self.cores.update((w, self.old_cores[w]) for w in again)
-        new = list(new - again)
-        self.cores.update(zip(new, self._library(new), strict=True))
-        self.cores[""] = b""
-        for c, start, core, end in words:
-            self.memo[c] = self.cores[start] + self.cores[core] + self.cores[end]
+        cores, old = self.cores, self.old_cores
+        cores[""] = b""
+        tokenize, mapped = self.tok.model.tokenize, self.mapped
+        for _, *parts in words:
+            for w in parts:
+                if w not in cores:  # a run of letters or of punctuation is one pre-token, so the model alone does
+                    cores[w] = old.get(w) or _bytes([t.id for t in tokenize(w if w.isascii() else w.translate(mapped))])
+        self.memo.update((c, cores[start] + cores[core] + cores[end]) for c, start, core, end in words)
         self.memo.update(zip(short, self._library(short), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
