@@ -1,7 +1,7 @@
 """Repositories on a file system as corpora.
 
 The walk prunes excluded folders before it descends; only paths pass through the
-driver. Contents are read by Spark's binary source on the executors.
+driver. Contents are read on the executors.
 """
 
 from __future__ import annotations
@@ -48,27 +48,30 @@ def walk(root: str, excluded: Iterable[str]) -> list[str]:
 
 
 def read(spark: SparkSession, root: str, exclude: Iterable[str] = ()) -> DataFrame:
-    """The corpus of a repository. Ids are dense and follow the paths; files that are no UTF-8 are left out (see skipped())."""
-    found = _files(spark, root, exclude)
-    if found is None:
-        return spark.createDataFrame([], SCHEMA)
-    good = found.where(F.is_valid_utf8("content"))
-    bad = [r[0] for r in found.where(~F.is_valid_utf8("content")).select("place").collect()]  # places of unreadable files only
-    for r in found.where(F.col("place").isin(bad)).select("relative_path").collect() if bad else []:
-        print(f"skipped: {r[0]} is no UTF-8 text", file=sys.stderr)
-    lower = F.array(*(F.lit(b) for b in bad)) if bad else F.array().cast("array<int>")
-    shift = F.size(F.filter(lower, lambda b: b < F.col("place")))
-    return good.select((F.col("place") - shift).cast("long").alias("doc_id"), "relative_path", "content")
-
-
-def _files(spark: SparkSession, root: str, exclude: Iterable[str]) -> DataFrame | None:
+    """The corpus of a repository. Ids are dense and follow the paths; files that are no UTF-8, or can't be read, are reported and left out."""
     base = os.path.realpath(root)
     paths = walk(root, exclusions(root, exclude))
     if not paths:
-        return None
-    uri = lambda p: f"file:{os.path.join(base, p)}"
-    places = spark.createDataFrame([(i, p, uri(p)) for i, p in enumerate(paths)], "place int, relative_path string, uri string")
-    # binaryFile takes globs, so their characters are escaped
-    glob = lambda s: "".join(f"\\{c}" if c in "*?[]{}\\," else c for c in s)
-    bodies = spark.read.format("binaryFile").load([glob(uri(p)) for p in paths]).select(F.regexp_replace("path", "^file:/+", "file:/").alias("uri"), F.col("content").cast("string").alias("content"))
-    return bodies.join(F.broadcast(places), "uri").drop("uri")
+        return spark.createDataFrame([], SCHEMA)
+    listed = spark.createDataFrame(list(enumerate(paths)), "place int, relative_path string")
+
+    def contents(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for place, path in zip(b.column("place").to_pylist(), b.column("relative_path").to_pylist(), strict=True):
+                try:
+                    with open(os.path.join(base, path), encoding="utf-8", newline="") as f:
+                        body = f.read()
+                except (OSError, UnicodeDecodeError):
+                    body = None
+                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([path]), pa.array([body], pa.string())], names=["place", "relative_path", "content"])
+
+    # Spark's own file sources pass over hidden and empty files, which count here; the folder is one that all executors see.
+    found = listed.mapInArrow(contents, "place int, relative_path string, content string")
+    bad = found.where("content is null").select("place", "relative_path").orderBy("place").collect()  # what could not be read
+    for r in bad:
+        print(f"skipped: {r.relative_path} can't be read as UTF-8 text", file=sys.stderr)
+    gaps = F.array(*(F.lit(r.place) for r in bad)) if bad else F.array().cast("array<int>")
+    before = F.size(F.filter(gaps, lambda b: b < F.col("place")))
+    return found.where("content is not null").select((F.col("place") - before).cast("long").alias("doc_id"), "relative_path", "content")
