@@ -222,20 +222,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_i
                 names=["id", "v", "low", "region", "part"],
             )
 
-    asked = ready(queries).mapInArrow(enter, "id long, v array<long>, low double, region int, part int")
+    asked = ready(queries).mapInArrow(enter, "id long, v array<long>, low double, region int, part int").withColumn("which", F.xxhash64("v"))
 
     def pair(key, a, b):
         import numpy as np
         import pandas as pd
 
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "v": [], "vec_id": [], "score": []}).astype({"query_id": "i8", "v": object, "vec_id": "i8", "score": "i8"})
-        q, x = _matrix(a.v.tolist(), width), _matrix(b.v.tolist(), width)
-        got = dual(q, a.id.to_numpy(), x, b.id.to_numpy(), k, a.low.to_numpy())
-        qid, xid, v = a.id.to_numpy(), b.id.to_numpy(), a.v.tolist()
-        return pd.DataFrame({"query_id": [qid[r] for r, _, _ in got], "v": [v[r] for r, _, _ in got], "vec_id": [xid[c] for _, c, _ in got], "score": [int(s) for _, _, s in got]}, columns=["query_id", "v", "vec_id", "score"]).astype({"query_id": "i8", "vec_id": "i8", "score": "i8"})
-
-    found = asked.groupBy("region", "part").cogroup(placed.groupBy("region", "part")).applyInPandas(pair, "query_id long, v array<long>, vec_id long, score long")
-    order = Window.partitionBy("query_id", "v").orderBy(F.desc("score"), "vec_id")
+        got = []
+        if len(a) and len(b):
+            q, x = _matrix(a.v.tolist(), width), _matrix(b.v.tolist(), width)
+            got = dual(q, a.id.to_numpy(), x, b.id.to_numpy(), k, a.low.to_numpy())
+        rows, cols = [r for r, _, _ in got], [c for _, c, _ in got]
+        long = lambda x: np.array(x, dtype="i8")
+        return pd.DataFrame({"query_id": long(a.id.to_numpy()[rows] if rows else []), "which": long(a.which.to_numpy()[rows] if rows else []), "vec_id": long(b.id.to_numpy()[cols] if cols else []), "score": long([int(s) for _, _, s in got])})
+
+    # `which` tells queries apart that share an id but not their vector
+    found = asked.groupBy("region", "part").cogroup(placed.groupBy("region", "part")).applyInPandas(pair, "query_id long, which long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "which").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("vec_id").alias(id), "score")
