@@ -177,7 +177,9 @@ class Encoder:
         k = _kind(c), _kind(d)
         if k[1] == "S" and d in " \n" or k[0] == "S" and c in " \n":
             return False
-        if "S" in k or unicodedata.combining(d) or "'" in text[max(0, i - 4) : i + 4] or "<|" in text[max(0, i - 24) : i + 24]:
+        if "S" in k or any(unicodedata.category(x)[0] == "M" or "\u1100" <= x <= "\u11ff" for x in (c, d)):
+            return None  # marks and conjoining letters may become one character with what stands before
+        if "'" in text[max(0, i - 4) : i + 4] or "<|" in text[max(0, i - 24) : i + 24]:
             return None
         n = unicodedata.normalize
         if n("NFC", c + d) != c + d or len(c.lower()) > 1 or len(d.lower()) > 1 or any(s in text[max(0, i - len(s)) : i + len(s)] for s in self.specials):
