@@ -32,6 +32,8 @@ UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 #: Words that a worker remembers.
 MEMO = 300_000
+#: Characters that are scored at a time.
+PART = 1 << 20
 
 
 @dataclass
@@ -65,23 +67,24 @@ def train(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str =
     def count(batches):
         import pyarrow as pa
 
-        found: Counter = Counter()
+        words: Counter = Counter()
 
         def out():
+            found: Counter = Counter()
+            for (g, w), n in words.items():
+                found[g, 0, w] += n
+                for k in range(1, longest + 1):
+                    for part in _grams(w[:64], k):
+                        found[g, k, part] += n
+            words.clear()
             got = list(found.items())
-            found.clear()
             return pa.RecordBatch.from_pydict({"lang": [k[0] for k, _ in got], "kind": pa.array([k[1] for k, _ in got], pa.int32()), "term": [k[2] for k, _ in got], "n": [n for _, n in got]})
 
         for b in batches:
-            for g, x in zip(b.column("lang").to_pylist(), b.column("x").to_pylist(), strict=True):
-                own = Counter(WORD.findall(x.lower()))
-                for w, n in own.items():
-                    found[g, 0, w] += n
-                    for k in range(1, longest + 1):
-                        for part in _grams(w[:64], k):
-                            found[g, k, part] += n
-            if len(found) > 400_000:
-                yield out()
+            for g, x in zip(b.column("lang").to_pylist(), b.column("x"), strict=True):
+                words.update((g, w) for w in WORD.findall(x.as_py().lower()))
+                if len(words) > 100_000:
+                    yield out()
         yield out()
 
     counts = some.mapInArrow(count, "lang string, kind int, term string, n long").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n")).where("n > 1")
@@ -104,50 +107,78 @@ def train(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str =
 
 
 class Scorer:
+    """Scores texts under a model; remembers the vectors of a bounded number of words."""
+
     def __init__(self, model: Model, longest: int = LONGEST):
         import numpy as np
 
         self.model, self.longest = model, longest
+        self.words = {w: n for n, w in enumerate(model.words)}
+        self.grams = {g: n for n, g in enumerate(model.grams, len(self.words))}
+        self.entries = np.array([*model.words.values(), *model.grams.values(), [0.0] * len(model.langs)]).reshape(-1, max(1, len(model.langs)))
         self.seen: dict[str, int] = {}
-        self.rows = np.zeros((1 << 12, max(1, len(model.langs))))
-
-    def _vector(self, word: str):
+        self.rows = np.zeros((1 << 12, self.entries.shape[1]))
+
+    def _parts(self, word: str) -> list[int]:
+        """Entries whose mean is the word's vector: its own, else its known n-grams of the longest order that has any."""
+        at = self.words.get(word)
+        if at is not None:
+            return [at]
+        grams, w = self.grams, f"^{word}$"
+        for k in range(self.longest, 0, -1):
+            found = [grams[g] for i in range(len(w) - k + 1) if (g := w[i : i + k]) in grams]
+            if found:
+                return found
+        return [len(self.entries) - 1]
+
+    def learn(self, words: set[str]) -> None:
         import numpy as np
 
-        if word in self.model.words:
-            v = self.model.words[word]
-        else:
-            for k in range(self.longest, 0, -1):
-                known = [self.model.grams[g] for g in _grams(word, k) if g in self.model.grams]
-                if known:
-                    v = np.mean(known, axis=0)
-                    break
-            else:
-                v = np.zeros(len(self.model.langs))
-        v = np.asarray(v)
-        return v - v.max()
-
-    def predict(self, text: str | None) -> tuple[str, float]:
+        parts = [self._parts(w) for w in words]
+        sizes = np.fromiter(map(len, parts), "i8", len(parts))
+        flat = np.fromiter((n for p in parts for n in p), "i8", int(sizes.sum()))
+        v = np.add.reduceat(self.entries[flat], np.cumsum(sizes) - sizes) / sizes[:, None]
+        first = len(self.seen)
+        while first + len(v) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[first : first + len(v)] = v - v.max(axis=1, keepdims=True)
+        self.seen.update(zip(words, range(first, first + len(v)), strict=True))
+
+    def predictions(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language of each text. Words new to the worker are learned together."""
         import numpy as np
 
-        words = WORD.findall(text.lower()) if text and self.model.langs else []
-        if not words or not (words[0].isalpha() or any(c.isalpha() for w in words for c in w)):
-            return UNKNOWN, 0.0
+        langs = self.model.langs
+        split = [WORD.findall(t.lower()) if t and langs else [] for t in texts]
         if len(self.seen) > MEMO:
             self.seen = {}
-        try:
-            at = list(map(self.seen.__getitem__, words))
-        except KeyError:
-            for w in set(words).difference(self.seen):
-                n = self.seen[w] = len(self.seen)
-                if n >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[n] = self._vector(w)
-            at = list(map(self.seen.__getitem__, words))
-        total = self.rows[at].sum(axis=0)
-        p = np.exp(total - total.max())
-        best = int(p.argmax())
-        return self.model.langs[best], float(p[best] / p.sum())
+        new = set().union(*split).difference(self.seen) if split else set()
+        if new:
+            self.learn(new)
+        get, out = self.seen.__getitem__, []
+        for words in split:
+            if not words or not (words[0].isalpha() or any(c.isalpha() for w in words for c in w)):
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = self.rows[list(map(get, words))].sum(axis=0)
+            p = np.exp(total - total.max())
+            best = int(p.argmax())
+            out.append((langs[best], float(p[best] / p.sum())))
+        return out
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.predictions([text])[0]
+
+    def column(self, texts) -> list[tuple[str, float]]:
+        """predictions() of an Arrow column, a bounded amount of text at a time."""
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t.as_py())
+            size += len(part[-1] or "")
+            if size > PART:
+                out += self.predictions(part)
+                part, size = [], 0
+        return out + self.predictions(part)
 
 
 def identify(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,7 +190,7 @@ def identify(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "te
 
         scorer = Scorer(sent.value)
         for b in batches:
-            got = [scorer.predict(t) for t in b.column("x").to_pylist()]
+            got = scorer.column(b.column("x"))
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=["doc", "lang_pred", "score"])
 
     kind = docs.schema[doc].dataType.simpleString()
@@ -175,7 +206,7 @@ def known_language(docs: DataFrame, model: Model, least: float = 0.5, doc: str =
 
         scorer = Scorer(sent.value)
         for b in batches:
-            got = [scorer.predict(t) for t in b.column(text).to_pylist()]
+            got = scorer.column(b.column(text))
             yield b.filter(pa.array([g != UNKNOWN and s >= least for g, s in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
