@@ -12,6 +12,11 @@ more power, so more of the level) says which are not random; the others, with
 enough bits, are spans. That bounds the share of truly random strings among
 those let go. The thresholds come from a histogram of a fixed number of bins.
 
+A string that no encoding fits as a whole (NAME=value, or characters of two
+encodings) is split at its inner '='; a part that mixes '+' or '/' with '-' or
+'_' is split at the first two and also at the last two. The parts with enough
+bits are tested like whole strings; found ones that overlap are one span.
+
 Everything is DataFrame functions. Positions are code points: the gaps between
 matches come from splitting at the same pattern, and a running sum over a
 document's matches gives their places; only matches are shuffled, not texts.
@@ -43,6 +48,7 @@ ENCODINGS = (
     ("base64", "^[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", (26, 26, 10, 2)),
     ("base64url", "^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", (26, 26, 10, 2)),
 )
+SPLITS = ("[+/]", "[_-]")
 #: Share of random strings among those let go; least bits of a secret; bins of the histogram of -log p, and how many make a unit.
 LEVEL, BITS, BINS, GRAIN = 0.01, 80.0, 512, 16
 
@@ -131,6 +137,33 @@ def _hits(docs: DataFrame, kind: str) -> DataFrame:
     return out.select("row", "kind", "k", F.col("m.gap").alias("gap"), F.col("m.hit").alias("hit"), F.length("m.hit").alias("size"), least.alias("ok")).where("hit is not null")
 
 
+def _split(strings: DataFrame, pattern: str) -> DataFrame:
+    """The parts of each string between single characters that match; a running sum gives their places."""
+    rest = [c for c in strings.columns if c not in ("start", "end", "s")]
+    parts = strings.select(*rest, F.col("start").alias("from"), F.posexplode(F.split("s", pattern, -1)).alias("i", "s"))
+    upto = Window.partitionBy("row", "from").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("end", F.col("from") + F.sum(F.length("s") + 1).over(upto) - 1)
+    return parts.withColumn("start", F.col("end") - F.length("s")).select(*rest, "start", "end", "s")
+
+
+def pieces(strings: DataFrame) -> DataFrame:
+    """(row, kind, start, end, s): strings that an encoding fits as they are, and parts of the others."""
+    fits = F.lit(False)
+    for _, pattern, _, _ in ENCODINGS:
+        fits = fits | F.col("s").rlike(pattern)
+    core = F.regexp_replace("s", "=+$", "")
+    other = strings.where(~fits).withColumns({"s": core, "last": F.col("start") + F.length(core), "whole": F.col("end")})
+    # a part of fewer characters has too few bits in any encoding
+    enough = F.length("s") * 6 >= BITS
+    parts = _split(other, "=").where(enough)
+    mixed = F.col("s").rlike(SPLITS[0]) & F.col("s").rlike(SPLITS[1])
+    twice = _split(parts.where(mixed), SPLITS[0]).union(_split(parts.where(mixed), SPLITS[1])).where(enough).distinct()
+    out = parts.where(~mixed).union(twice)
+    # padding at the string's end is the last part's
+    out = out.withColumn("end", F.when(F.col("end") == F.col("last"), F.col("whole")).otherwise(F.col("end")))
+    return strings.where(fits).select("row", "kind", "start", "end", "s").union(out.select("row", "kind", "start", "end", "s"))
+
+
 def spans(docs: DataFrame, text: str = "text", row: str = "row") -> DataFrame:
     """(row, kind, start, end): all spans of the texts, which `row` tells apart; kind is the place in KINDS."""
     body = docs.select(F.col(row).alias("row"), F.col(text).alias("t"))
@@ -143,9 +176,9 @@ def spans(docs: DataFrame, text: str = "text", row: str = "row") -> DataFrame:
     end = F.sum(F.col("gap") + F.col("size")).over(order)
     placed = hits.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).where("ok")
     placed = written(placed.select("row", "kind", "start", "end", F.col("hit").alias("s")), "hits")
-    tested = written(battery(placed.where(F.col("kind") == KINDS.index("random"))).where("p is not null"), "tested")
+    tested = written(battery(pieces(placed.where(F.col("kind") == KINDS.index("random")))).where((F.col("bits") >= BITS) & F.col("p").isNotNull()), "tested")
     least, mean = not_random(tested)
-    random = tested.where((_bin(F.col("p"), F.length("s"), mean) < least) & (F.col("bits") >= BITS))
+    random = tested.where(_bin(F.col("p"), F.length("s"), mean) < least)
     both = placed.where(F.col("kind") != KINDS.index("random")).drop("s").union(random.select("row", "kind", "start", "end"))
     # A random span stays if no base span that starts before it ends in it, and none starts within it.
     base = F.col("kind") != KINDS.index("random")
@@ -154,7 +187,13 @@ def spans(docs: DataFrame, text: str = "text", row: str = "row") -> DataFrame:
     after = F.min(F.when(base, F.col("start"))).over(by.rowsBetween(1, Window.unboundedFollowing))
     kept = both.withColumns({"before": before, "after": after})
     free = (F.coalesce("before", F.lit(-1)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))
-    return kept.where(base | free).select("row", "kind", "start", "end")
+    kept = kept.where(base | free)
+    # parts that overlap are one: a span begins where no part before it of its kind reaches it
+    by = Window.partitionBy("row", base).orderBy("start", "end")
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    kept = kept.withColumn("new", F.when(base | (F.coalesce(reach, F.lit(-1)) <= F.col("start")), 1).otherwise(0))
+    kept = kept.withColumn("n", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return kept.groupBy("row", "kind", base.alias("base"), "n").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("row", "kind", "start", "end")
 
 
 def _listed(spans: Column) -> Column:

@@ -119,6 +119,27 @@ def test_secret_spans(docs, rows, empty, spark):
     assert secretscan.scan(empty).count() == secretscan.redacted(empty).count() == 0
 
 
+def test_secrets_in_runs_that_no_encoding_fits(spark):
+    secrets = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMP7KEY", "q8Zr2LmX0vTb6KsYw4HnJd91", "Zk3q9XbT7vLm2Rw8Yc5Nh1Pd", "Qm9vT2xZ8kLp3RwY5cNhJd1x+A7u/Gs0=="]
+    texts = [f"é AWS_SECRET_ACCESS_KEY={secrets[0]} é", f"client_key={secrets[1]}", f"🙂?sig={secrets[2]}&x", f"A_B-C={secrets[3]} a", f"my-app_/x/{secrets[1]}", f"A=B={secrets[1]}=C=", "=-" * 30_000]
+    want = [secrets[0], secrets[1], secrets[2], secrets[3], secrets[1], secrets[1], None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = secretscan.digests(secretscan.scan(table))
+    assert no_python(out)
+    got = {r.doc_id: r.spans for r in out.collect()}
+    for d, (t, w) in enumerate(zip(texts, want)):
+        if w is None:
+            assert got[d] == ""
+        elif d == 4:  # the parts that hold the secret overlap and are one span
+            _, a, b = got[d].split(":")
+            assert w in t[int(a) : int(b)]
+        else:
+            a = t.index(w)
+            assert got[d] == f"random:{a}:{a + len(w)}", (t, got[d])
+    clean = {r.doc_id: r.text for r in secretscan.redacted(table).collect()}
+    assert clean[0] == "é AWS_SECRET_ACCESS_KEY=[secret] é" and not any(w and w in clean[d] for d, w in enumerate(want))
+
+
 def test_battery_tells_random_from_patterned(spark):
     rng = random.Random(4)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
