@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_texts import NOTICES, SPELLINGS, TEXTS
+from .license_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 
 #: A line that says this may be a notice. Each known notice does.
 MENTION = "(?i)licen[cs]e|public domain|copyright"
@@ -45,9 +45,12 @@ def digest(text: Column) -> Column:
 
 
 def known(spark, texts: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
-    """(scope, digest, license_id): a row per known text."""
+    """(scope, digest, license_id): a row per known text; those known by digest alone are among them if texts is not given."""
     rows = [("text", k, v) for k, v in (TEXTS if texts is None else texts).items()] + [("line", k, v) for v, k in (NOTICES if notices is None else notices).items()]
-    return spark.createDataFrame(rows, "scope string, license_id string, body string").select("scope", digest(F.col("body")).alias("digest"), "license_id").dropDuplicates(["scope", "digest"])
+    out = spark.createDataFrame(rows, "scope string, license_id string, body string").select("scope", digest(F.col("body")).alias("digest"), "license_id")
+    if texts is None:
+        out = out.union(spark.createDataFrame([("text", d, k) for d, k in DIGESTS.items()], out.schema))
+    return out.dropDuplicates(["scope", "digest"])
 
 
 def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text", registry: DataFrame | None = None) -> DataFrame:

@@ -178,3 +178,25 @@ def test_license_digests(docs, empty, spark):
     assert all(by[d] == hashlib.sha256(canonical(t or "").encode()).hexdigest() for d, t in texts)
     assert licenses.scan(docs).where("scope = 'text'").count() == docs.count()
     assert licenses.scan(empty).count() == 0
+
+
+def test_entire_texts_known_by_digest(spark):
+    import os
+
+    import pytest
+
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no licence texts on this machine")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {}
+    for f, k in names.items():
+        with open(f"{folder}/{f}", encoding="utf-8") as x:
+            texts[f] = (x.read(), k)
+    texts["filled"] = (texts["Apache-2.0"][0].replace("[yyyy] [name of copyright owner]", "2020 A. Person"), "Apache-2.0")
+    end = "END OF TERMS AND CONDITIONS"
+    texts["terms"] = (texts["GPL-3"][0].split(end)[0] + end + "\n", "GPL-3.0")
+    texts["cut"] = (texts["GPL-3"][0][:-200], None)
+    out = licenses.scan(spark.createDataFrame([(f, t) for f, (t, _) in texts.items()], "doc_id string, text string"))
+    assert no_python(out)
+    assert {r.doc_id: r.license_id for r in out.where("scope = 'text'").collect()} == {f: k for f, (_, k) in texts.items()}
