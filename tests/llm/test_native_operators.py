@@ -200,3 +200,24 @@ def test_entire_texts_known_by_digest(spark):
     out = licenses.scan(spark.createDataFrame([(f, t) for f, (t, _) in texts.items()], "doc_id string, text string"))
     assert no_python(out)
     assert {r.doc_id: r.license_id for r in out.where("scope = 'text'").collect()} == {f: k for f, (_, k) in texts.items()}
+
+
+def test_copyright_statements_within_lines(spark):
+    mit = TEXTS["MIT (no title)"]
+    one = " ".join(mit.split())
+    texts = [
+        (f"MIT License Copyright (c) 2020 A. Person, Inc. {one}", ("text", 0, "MIT")),
+        (f"MIT License\n\nCopyright Jane Doe 2020\n\n{mit}", ("text", 0, "MIT")),
+        (f"Copyright: 2020-2024 Jane Doe. All rights reserved. {one}", ("text", 0, "MIT (no title)")),
+        (f"Copyright [yyyy] [name]\n{mit}", ("text", 0, "MIT (no title)")),
+        ("x\nCopyright 2021 X. Licensed under the MIT License.", ("line", 2, "MIT")),
+        ("© Jane Doe, 2020 Licensed under the MIT License.", ("text", 0, None)),
+        (f"Copyright 2020 Xavier. Some other words. {one}", ("text", 0, None)),
+        ("Copyright 2020 X", ("text", 0, None)),
+        ("copyright " * 5000 + "2020", ("text", 0, None)),
+    ]
+    out = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string"))
+    assert no_python(out)
+    got = {(r.doc_id, r.scope, r.line, r.license_id) for r in out.collect()}
+    assert {(i, *w) for i, (_, w) in enumerate(texts)} <= got
+    assert {r for r in got if r[1] == "line"} == {(4, "line", 2, "MIT"), (5, "line", 1, "MIT")}
