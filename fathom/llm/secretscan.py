@@ -36,7 +36,7 @@ from .common import fresh, written
 #: Kinds in the order in which equal starts are listed: pattern, and least length of a match or, for assign, of its second group.
 ASSIGN = "(?:(?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 KINDS = ("assign", "access", "hex", "random")
-PATTERNS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}", "random": "[A-Za-z0-9+/_=-]{20,}+"}
+PATTERNS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}", "random": "[A-Za-z0-9+/_=-]{14,}+"}
 VALUE = 6
 #: Encodings in the order in which they are tried: name, pattern, alphabet, and how many characters each class of it has.
 CLASSES = ("[a-z]", "[A-Z]", "[0-9]", "[+/_-]")

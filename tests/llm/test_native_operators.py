@@ -140,6 +140,12 @@ def test_secrets_in_runs_that_no_encoding_fits(spark):
     assert clean[0] == "é AWS_SECRET_ACCESS_KEY=[secret] é" and not any(w and w in clean[d] for d, w in enumerate(want))
 
 
+def test_short_secrets_with_enough_bits(spark):
+    texts = ["x Zk3q9XbT7vLm2R x", "x q8zr2lmx0vtb6ksy x", "x Zk3q9XbT7vLm2 x", "x 3f9a1c07e5b28d64 x"]  # 83, 83, 77 and 64 bits
+    out = secretscan.digests(secretscan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {r.doc_id: r.spans for r in out.collect()} == {0: "random:2:16", 1: "random:2:18", 2: "", 3: ""}
+
+
 def test_battery_tells_random_from_patterned(spark):
     rng = random.Random(4)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
