@@ -32,6 +32,8 @@ UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 #: Words that a worker remembers.
 MEMO = 300_000
+#: Counts that a training task holds before it passes them on.
+FOUND = 500_000
 #: Characters that are scored at a time.
 PART = 1 << 20
 
@@ -74,9 +76,15 @@ def train(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str =
             for (g, w), n in words.items():
                 found[g, 0, w] += n
                 for k in range(1, longest + 1):
-                    for part in _grams(w[:64], k):
+                    for part in _grams(w, k):
                         found[g, k, part] += n
+                if len(found) > FOUND:
+                    yield table(found)
+                    found.clear()
             words.clear()
+            yield table(found)
+
+        def table(found):
             got = list(found.items())
             return pa.RecordBatch.from_pydict({"lang": [k[0] for k, _ in got], "kind": pa.array([k[1] for k, _ in got], pa.int32()), "term": [k[2] for k, _ in got], "n": [n for _, n in got]})
 
@@ -84,8 +92,8 @@ def train(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str =
             for g, x in zip(b.column("lang").to_pylist(), b.column("x"), strict=True):
                 words.update((g, w) for w in WORD.findall(x.as_py().lower()))
                 if len(words) > 100_000:
-                    yield out()
-        yield out()
+                    yield from out()
+        yield from out()
 
     counts = some.mapInArrow(count, "lang string, kind int, term string, n long").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n")).where("n > 1")
     each = max(1, entries // len(langs))

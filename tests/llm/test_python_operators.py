@@ -231,3 +231,9 @@ def test_sharding(docs, rows, empty):
     few = sharding.shard(written(sharding.measured(docs.where("doc_id < 3")), "m")).collect()
     assert sorted((r.shard, r.slot) for r in few) == [(0, 0), (1, 0), (2, 0)]
     assert sharding.shard(written(sharding.measured(empty), "m")).count() == 0
+
+
+def test_language_training_counts_whole_words(spark):
+    rows = [(i, "ab" * 50 + "zq", "en") for i in range(4)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert "bzq$" in model.grams and "aba$" not in model.grams and "bab$" not in model.grams
