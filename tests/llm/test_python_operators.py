@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -175,13 +176,65 @@ def test_language_of_held_out_texts(docs, empty):
     assert langid.identify(empty, model).count() == 0
 
 
-def test_backoff_prefers_words_then_long_grams():
-    model = langid.Model(["a", "b"], {"word": [-1.0, -5.0]}, {"^wor": [-9.0, -1.0], "w": [-2.0, -3.0], "o": [-2.0, -3.0]})
-    scorer = langid.Scorer(model)
-    assert scorer.predict("word")[0] == "a"
-    assert scorer.predict("worx")[0] == "b"
-    assert scorer.predict("ow")[0] == "a"
-    assert scorer.predict("zzz") == ("a", 0.5)
+def plain_words(text):
+    """Runs of letters in lower case, 256 at most."""
+    out = []
+    for run in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+        out += [run[i : i + langid.RUN] for i in range(0, len(run), langid.RUN)]
+    return out
+
+
+def plain_scores(learned, texts, longest=4):
+    """(language, score) of each text, by dictionaries of counted words and n-grams."""
+    langs = sorted({g for g, _ in learned})
+    counts = {g: Counter() for g in langs}
+    grams = lambda w, k: [f"^{w}$"[i : i + k] for i in range(len(w) + 3 - k)]
+    for g, t in learned:
+        for w in plain_words(t):
+            counts[g][0, w] += 1
+            counts[g].update((k, x) for k in range(1, longest + 1) for x in grams(w, k))
+    totals = {(g, k): max(1, sum(n for (j, _), n in counts[g].items() if j == k)) for g in langs for k in range(longest + 1)}
+
+    def logs(key):
+        share = [counts[g][key] / totals[g, key[0]] for g in langs]
+        return [math.log(s or min(0.1 * max(share), 0.5 / totals[g, key[0]])) for s, g in zip(share, langs)] if any(share) else None
+
+    def vector(w):
+        if v := logs((0, w)):
+            return v
+        for k in range(longest, 0, -1):
+            if found := [v for x in grams(w, k) if (v := logs((k, x)))]:
+                return [sum(c) / len(found) for c in zip(*found)]
+        return [0.0] * len(langs)
+
+    out = []
+    for t in texts:
+        vs = [vector(w) for w in plain_words(t)]
+        total = [sum(c) for c in zip(*vs)]
+        p = [math.exp(x - max(total)) for x in total]
+        out.append((langs[p.index(max(p))], max(p) / sum(p)) if vs else ("und", 0.0))
+    return out
+
+
+def test_language_equals_a_plain_scorer(docs, rows, monkeypatch):
+    """On every text, known and unseen words, long runs of letters and texts above the size worked on at a time."""
+    odd = ["zqx lumièr wit", "ab" * 700 + "zq", "the" + "\x00" + "Maison ΑΣ", "İstanbul ǅ ß", "中文" * 300, "x", "the " * 3000, "9 9"]
+    learned = [(g, t) for d, t, g, _ in rows if d is not None and g and t is not None and zlib.crc32(str(d).encode()) % 4 != 2]
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    texts = [t for _, t, *_ in rows] + odd
+    for part in (langid.PART, 1024):
+        monkeypatch.setattr(langid, "PART", part)
+        best, score = langid.predictions(model, texts, len(texts))
+        got = [(model.langs[b] if b >= 0 else "und", s) for b, s in zip(best, score)]
+        for (a, x), (b, y) in zip(got, plain_scores(learned, texts)):
+            assert x == pytest.approx(y, abs=1e-3) and (a == b or abs(x - 0.5) < 1e-3)
+
+
+def test_language_training_is_bounded_by_rows_and_characters(spark):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 20, "en") for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    every = len(langid.train(frame).keys)
+    assert len(langid.train(frame, sample=60).keys) < every / 3 and len(langid.train(frame, chars=10_000).keys) < every / 3
 
 
 def brute(rows, k=10):
@@ -231,9 +284,3 @@ def test_sharding(docs, rows, empty):
     few = sharding.shard(written(sharding.measured(docs.where("doc_id < 3")), "m")).collect()
     assert sorted((r.shard, r.slot) for r in few) == [(0, 0), (1, 0), (2, 0)]
     assert sharding.shard(written(sharding.measured(empty), "m")).count() == 0
-
-
-def test_language_training_counts_whole_words(spark):
-    rows = [(i, "ab" * 50 + "zq", "en") for i in range(4)]
-    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert "bzq$" in model.grams and "aba$" not in model.grams and "bab$" not in model.grams
