@@ -13,8 +13,14 @@ and last token equal those already there. That is exact for BPE: a sequence of
 tokens is the encoding of its text if each neighbouring pair is the encoding of
 its own text, and both ends of an agreeing window keep their old neighbours.
 
-Within a leaf, white-space separated chunks are encoded once per worker and
-memo generation; the memo's size is bounded and does not change results.
+A run of over ``RUN`` characters is cut in halves and joined in the same way
+inside a leaf, so ordinary long words go through the tree as well.
+
+Within a leaf, texts are split into runs of letters, of punctuation, and digits
+by array operations; equal runs are found by hashes and compared character by
+character. A run is encoded once per worker while its memo lasts; the memo's
+size is bounded and does not change results. Chunks with any other character
+(a contraction, a mark, a script beyond Latin-1) go to the library whole.
 
 Defined results: null text is encoded as the empty text, which has no ids;
 repeated rows (ids too) give a result each; other columns stay out of the work
@@ -23,9 +29,11 @@ unless named in ``keep``; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
+import string
 import sys
 import unicodedata
 from array import array
@@ -35,12 +43,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .spans import hashes, rolling, within
+
 #: Characters of a leaf; longer texts are encoded on several tasks.
 LEAF = 1 << 16
-#: Characters of a run without white space above which it is cut inside a leaf, too.
-RUN = 1 << 12
-#: Chunks of a generation of a worker's memo; it has two.
-MEMO = 100_000
+#: Characters of a run above which it is encoded by halves inside a leaf, too; characters of other chunks above which they are.
+RUN, CHUNK = 16, 1 << 12
+#: Runs, and characters of runs, of a worker's memo, and its slots; characters of texts that are split at a time.
+MEMO, MEMO_CHARS, SLOTS, BUFFER = 400_000, 1 << 23, 1 << 20, 1 << 19
+#: Kinds of characters: separators, letters that no normaliser changes but for their case, digits, ASCII punctuation without an apostrophe, others.
+SEPARATOR, LETTER, DIGIT, MARK, OTHER = range(5)
 #: Characters of decoded text that are held at a time.
 SLICE = 1 << 22
 #: Tokens on each side of a join that are first encoded anew.
@@ -63,9 +75,6 @@ def _kind(c: str) -> str:
 class Encoder:
     """Encodes texts with one tokenizer file. Holds a bounded memo; one per Python worker."""
 
-    #: A word of letters that no normaliser changes but for their case, between ASCII punctuation without an apostrophe.
-    WORD = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
-
     def __init__(self, path: str, memo: int = MEMO, run: int = RUN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -75,15 +84,13 @@ class Encoder:
         self.tok.no_padding()
         with open(path, encoding="utf-8") as f:
             self.spec = json.load(f)
-        self.path, self.limit, self.run = path, memo, run
-        self.memo: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.old_memo: dict[str, bytes] = {}
-        self.old_cores: dict[str, bytes] = {}
+        self.path, self.limit, self.run, self.joins = path, memo, run, 0
         self.suffix = self.spec["model"].get("end_of_word_suffix") or ""
         self.specials = [t["content"] for t in self.spec["added_tokens"]]
         self.cuts = self._cuts()
         letters = [c for c in map(chr, range(0xC0, 0x100)) if c.isalpha()]
+        self.kinds, self.folded = _tables(letters)
+        self._forget()
         self.mapped = {ord(c): "".join(p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(c)) for c in letters} if self.cuts else {}
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self._models = self.spec = None  # the vocabulary and merges are read again if a long run needs them
@@ -107,9 +114,11 @@ class Encoder:
             and s["model"]["dropout"] is None
         )
 
+    def _batch(self, texts: list[str]) -> list:
+        return getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)(texts, add_special_tokens=False) if texts else []
+
     def _library(self, texts: list[str]) -> list[bytes]:
-        batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        return [_bytes(e.ids) for e in batch(texts, add_special_tokens=False)]
+        return [_bytes(e.ids) for e in self._batch(texts)]
 
     # -- joins -------------------------------------------------------------
 
@@ -122,9 +131,7 @@ class Encoder:
             with open(self.path, encoding="utf-8") as f:
                 m = json.load(f)["model"]
             merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]]
-            plain = BPE(vocab=m["vocab"], merges=merges)
-            ends = BPE(vocab=m["vocab"], merges=merges, end_of_word_suffix=self.suffix) if self.suffix else plain
-            self._models = plain, ends
+            self._models = BPE(vocab=m["vocab"], merges=merges), self.tok.model
             self.name = {i: t for t, i in m["vocab"].items()}
         return self._models
 
@@ -140,6 +147,7 @@ class Encoder:
         closed: whether the run ends with b; None: see the tokens of b.
         """
         self.models
+        self.joins += 1
         left = 0
         while left < len(a) and not self._ends(a[-1 - left]):
             left += 1
@@ -237,47 +245,147 @@ class Encoder:
 
     # -- whole texts -------------------------------------------------------
 
-    def _learn(self, missing: list[str]) -> None:
+    def _forget(self) -> None:
         import numpy as np
 
-        short, words, match, special, run = [], [], self.WORD.match, self.special, self.run
-        for c in missing:
-            if len(c) > run:
-                self.memo[c] = np.array(self._chunk(c, True), dtype="<u4").tobytes()
-            elif (m := match(c)) and not (special and "<" in c and special.search(c)):
-                start, core, end = m.groups()
-                words.append((c, start, core.lower(), end))
-            else:
-                short.append(c)
-        cores, old = self.cores, self.old_cores
-        cores[""] = b""
-        tokenize, mapped = self.tok.model.tokenize, self.mapped
-        for _, *parts in words:
-            for w in parts:
-                if w not in cores:  # a run of letters or of punctuation is one pre-token, so the model alone does
-                    cores[w] = old.get(w) or _bytes([t.id for t in tokenize(w if w.isascii() else w.translate(mapped))])
-        self.memo.update((c, cores[start] + cores[core] + cores[end]) for c, start, core, end in words)
-        self.memo.update(zip(short, self._library(short), strict=True))
+        #: By the low bits of a run's hash: its hash, and its number (-1: none). A later run takes an earlier one's slot.
+        self.keys, self.numbers = np.zeros(SLOTS, "u8"), np.full(SLOTS, -1, "i4")
+        #: The runs' characters and ids, run after run; by number where a run's begin, and how many they are.
+        self.chars, self.char_at, self.char_n = _Pool("<u4"), _Pool("i8"), _Pool("i8")
+        self.pool, self.at, self.many = _Pool("<u4"), _Pool("i8"), _Pool("i8")
+
+    def _known(self, keys, text, starts, sizes):
+        """Numbers of runs of text, -1 for those the memo does not have."""
+        import numpy as np
+
+        slot = (keys & np.uint64(SLOTS - 1)).astype("i8")
+        number = np.where(self.keys[slot] == keys, self.numbers[slot], -1).astype("i8")
+        number[number >= 0] = np.where(self.char_n[number[number >= 0]] == sizes[number >= 0], number[number >= 0], -1)
+        have = np.flatnonzero(number >= 0)
+        n = sizes[have]
+        differ = text[within(starts[have], n)] != self.chars[within(self.char_at[number[have]], n)]
+        if differ.any():  # another run of the same hash
+            number[have[np.repeat(np.arange(len(have)), n)[differ]]] = -1
+        return number
+
+    def _learn(self, runs: list[str], odd: list[bool]):
+        """Ids of runs, one after the other, and how many each has."""
+        import numpy as np
+
+        tokenize, mapped, run = self.tok.model.tokenize, self.mapped, self.run
+        got: list[list[int] | None] = []
+        for w, other in zip(runs, odd, strict=True):
+            if other:
+                got.append(self._chunk(w, True) if len(w) > CHUNK else None)
+            else:  # a run is one pre-token, so the model alone does
+                w = w if w.isascii() else w.translate(mapped)
+                got.append([t.id for t in tokenize(w)] if len(w) <= run else self._halves(w, True))
+        short = [i for i, x in enumerate(got) if x is None]
+        for i, e in zip(short, self._batch([runs[i] for i in short]), strict=True):
+            got[i] = e.ids
+        many = np.fromiter(map(len, got), "i8", len(got))
+        return np.fromiter(itertools.chain.from_iterable(got), "<u4", int(many.sum())), many
+
+    def _split(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special tokens."""
+        import numpy as np
+
+        codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        if len(self.at) > self.limit or len(self.chars) > MEMO_CHARS:
+            self._forget()
+        kind = self.kinds[np.minimum(codes, 256)]
+        inside = kind != SEPARATOR
+        before = np.concatenate(([SEPARATOR], kind[:-1])).astype(kind.dtype)
+        starts = inside & (before == SEPARATOR)
+        odd = np.zeros(len(codes), "?")
+        if (kind == OTHER).any():  # of a chunk with such a character all is one run
+            of = np.cumsum(starts) - 1
+            odd[inside] = (np.bincount(of[kind == OTHER], minlength=int(starts.sum())) > 0)[of[inside]]
+        starts |= inside & ~odd & ((kind != before) | (kind == DIGIT))
+        text = np.where(odd | (codes > 255), codes, self.folded[np.minimum(codes, 255)]).astype("<u4", copy=False)
+        last = inside & np.concatenate((starts[1:] | ~inside[1:], [True]))[: len(codes)]
+        s, e = np.flatnonzero(starts), np.flatnonzero(last) + 1
+        keys, first, where = np.unique(hashes(rolling(text), s, e), return_index=True, return_inverse=True)
+        size, chars = e - s, text[inside]
+        if (size != size[first][where]).any() or (chars != text[within(s[first][where], size)]).any():  # two runs with one hash
+            return [_bytes(x.ids) for x in self._batch(texts)]
+        from_, n = s[first], size[first]
+        number = self._known(keys, text, from_, n)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            whole = text.tobytes().decode("utf-32-le", "surrogatepass")
+            ids, many = self._learn([whole[a:b] for a, b in zip(from_[new].tolist(), (from_ + n)[new].tolist(), strict=True)], odd[from_[new]].tolist())
+            number[new] = np.arange(len(self.at), len(self.at) + len(new))
+            self.at.add(len(self.pool) + np.cumsum(many) - many)
+            self.many.add(many)
+            self.pool.add(ids)
+            self.char_at.add(len(self.chars) + np.cumsum(n[new]) - n[new])
+            self.char_n.add(n[new])
+            self.chars.add(text[within(from_[new], n[new])])
+            slot = (keys[new] & np.uint64(SLOTS - 1)).astype("i8")
+            self.keys[slot], self.numbers[slot] = keys[new], number[new]
+        of = number[where]
+        many = self.many[of]
+        ids = self.pool[within(self.at[of], many)]
+        bounds = np.cumsum(np.fromiter(map(len, texts), "i8", len(texts)) + 1)
+        ends = np.concatenate(([0], np.cumsum(many)))[np.searchsorted(s, bounds)]
+        return [x.tobytes() for x in np.split(ids, ends[:-1])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian 32-bit numbers."""
         if not self.cuts:
             return self._library(texts)
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*chunks).difference(self.memo) if chunks else set()
-        missing.discard("")
-        self.memo[""] = b""
-        if missing:
-            again = missing & self.old_memo.keys()
-            self.memo.update((c, self.old_memo[c]) for c in again)
-            self._learn(list(missing - again))
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, c)) for c in chunks]
-        if len(self.memo) > self.limit:
-            self.old_memo, self.memo = self.memo, {}
-        if len(self.cores) > self.limit:
-            self.old_cores, self.cores = self.cores, {}
-        return out
+        out: list[bytes] = []
+        part: list[str] = []
+        size = 0
+        for t in texts:
+            special = self.special and self.special.search(t)
+            if part and (special or size + len(t) > BUFFER):
+                out += self._split(part)
+                part, size = [], 0
+            if special:
+                out += self._library([t])
+            else:
+                part.append(t)
+                size += len(t)
+        return out + (self._split(part) if part else [])
+
+
+def _tables(letters: list[str]):
+    """(kinds, folded): by code point below 256 the kind of a character and its lower case; kinds has one more, for all others."""
+    import numpy as np
+
+    kinds, folded = np.full(257, OTHER, "i1"), np.arange(256, dtype="<u4")
+    kinds[33:127] = MARK
+    kinds[ord("'")] = OTHER
+    kinds[[ord(" "), ord("\n")]] = SEPARATOR
+    kinds[ord("0") : ord("9") + 1] = DIGIT
+    for c in (*string.ascii_letters, *letters):
+        kinds[ord(c)], folded[ord(c)] = LETTER, ord(c.lower())
+    return kinds, folded
+
+
+class _Pool:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: str):
+        import numpy as np
+
+        self.room, self.n = np.zeros(1 << 14, kind), 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i):
+        return self.room[i]
+
+    def add(self, more) -> None:
+        import numpy as np
+
+        n = self.n + len(more)
+        if n > len(self.room):
+            self.room = np.concatenate([self.room, np.zeros(max(n - len(self.room), len(self.room)), self.room.dtype)])
+        self.room[self.n : n], self.n = more, n
 
 
 def _bytes(ids: list[int]) -> bytes:

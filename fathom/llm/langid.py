@@ -30,6 +30,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spans import hashes, rolling, within
+
 #: Training rows and characters of a language; longest n-gram.
 SAMPLE, CHARS, LONGEST = 4_000, 8_000_000, 4
 #: Of a known word's probability in languages that do not have it.
@@ -37,8 +39,7 @@ FLOOR = 0.1
 UNKNOWN = "und"
 #: Letters of a word; characters worked on at a time (a multiple of RUN); counts that a training task gathers.
 RUN, PART, FOUND = 256, 1 << 18, 1 << 20
-#: Factors of the hashes, odd; numbers of the marks at a word's ends, beyond all characters.
-BASE, MIX, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+#: Numbers of the marks at a word's ends, beyond all characters.
 FIRST, LAST = 0x110000, 0x110001
 
 
@@ -65,46 +66,6 @@ def _letters():
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), "?", 0x110000)
 
 
-@functools.cache
-def _powers(n: int):
-    """Powers of BASE and of its inverse, modulo 2**64."""
-    import numpy as np
-
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        p = np.full(n + 1, base, "u8")
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out
-
-
-def _rolling(codes):
-    """Sums from which spans() takes hashes."""
-    import numpy as np
-
-    x = (codes.astype("u8") + np.uint64(1)) * np.uint64(MIX)
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(MIX2)
-    sums = np.zeros(len(x) + 1, "u8")
-    np.cumsum(x * _powers(_room(len(x)))[0][: len(x)], out=sums[1:])
-    return sums
-
-
-def _room(n: int) -> int:
-    return max(PART * 2, 1 << int(n).bit_length())
-
-
-def _hashes(sums, starts, ends, kind: int):
-    """Hashes of codes[start:end], told apart by kind (0: words, else the n-gram's order)."""
-    import numpy as np
-
-    h = (sums[ends] - sums[starts]) * _powers(_room(len(sums)))[1][starts]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(MIX)
-    h += np.uint64((kind * MIX2) % (1 << 64))
-    return h ^ (h >> np.uint64(29))
-
-
 def _cut(text: str) -> Iterator[str]:
     """Parts of at most PART characters; words are cut only as RUN says."""
     at, n = 0, len(text)
@@ -162,9 +123,8 @@ def _marked(codes, starts, ends):
     out[first], out[first + sizes - 1] = FIRST, LAST
     inside = np.ones(len(out), "?")
     inside[first] = inside[first + sizes - 1] = False
-    n = sizes - 2
-    out[inside] = codes[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-    return _rolling(out), first, first + sizes
+    out[inside] = codes[within(starts, sizes - 2)]
+    return rolling(out), first, first + sizes
 
 
 def _grams(sums, starts, ends, k: int):
@@ -173,8 +133,8 @@ def _grams(sums, starts, ends, k: int):
 
     n = np.maximum(ends - starts - k + 1, 0)
     word = np.repeat(np.arange(len(starts)), n)
-    at = starts[word] + np.arange(len(word)) - (np.cumsum(n) - n)[word]
-    return _hashes(sums, at, at + k, k), word, n
+    at = within(starts, n)
+    return hashes(sums, at, at + k, k), word, n
 
 
 def _counts(parts: list[str], longest: int):
@@ -182,7 +142,7 @@ def _counts(parts: list[str], longest: int):
     import numpy as np
 
     codes, starts, ends, _ = _words(parts)
-    keys, at, n = np.unique(_hashes(_rolling(codes), starts, ends, 0), return_index=True, return_counts=True)
+    keys, at, n = np.unique(hashes(rolling(codes), starts, ends, 0), return_index=True, return_counts=True)
     out = [(np.zeros(len(keys), "i4"), keys, n)]
     sums, first, last = _marked(codes, starts[at], ends[at])
     for k in range(1, longest + 1):
@@ -281,7 +241,7 @@ def predictions(model: Model, texts: Iterable[str | None], n: int):
         codes, starts, ends, part = _words(parts)
         if not len(starts):
             continue
-        keys, at, where = np.unique(_hashes(_rolling(codes), starts, ends, 0), return_index=True, return_inverse=True)
+        keys, at, where = np.unique(hashes(rolling(codes), starts, ends, 0), return_index=True, return_inverse=True)
         v, of = _vectors(model, codes, starts[at], ends[at], keys), np.array(numbers)[part]
         lo, hi = numbers[0], numbers[-1] + 1
         many[lo:hi] += np.bincount(of - lo, minlength=hi - lo)

@@ -36,6 +36,19 @@ def test_tree_concatenation_equals_the_library(library):
         assert enc.tree([enc.leaf(x, h) for x, h in leaves], [h for _, h in leaves][:-1]) == want
 
 
+@pytest.mark.parametrize("slots, bits, memo", [(8, 64, 10_000), (1 << 20, 5, 10_000), (1 << 20, 64, 3)])
+def test_memo_does_not_change_ids(library, monkeypatch, slots, bits, memo):
+    """Few slots, hashes that collide, and a memo that is forgotten again and again."""
+    real = bpe.hashes
+    monkeypatch.setattr(bpe, "SLOTS", slots)
+    monkeypatch.setattr(bpe, "hashes", lambda *a: real(*a) & np.uint64(2**bits - 1))
+    monkeypatch.setattr(bpe, "BUFFER", 60)
+    enc, rng = bpe.Encoder(bpe.default_path(), memo=memo), random.Random(5)
+    texts = [" ".join(rng.choice(["The", "the", "THE,", "don't", "Éa-7", "x12", "\t漢字", "internationalisation", "<|endoftext|>"]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [ids_of(library, t) for t in texts]
+    assert enc.joins  # words of more than RUN characters are put together from halves
+
+
 def test_encode_and_decode_whole_texts(docs, rows, empty, library):
     out = bpe.encode(docs, keep=("doc_id", "text"), decoded="back", leaf=1000).collect()
     assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
