@@ -50,7 +50,7 @@ LEAF = 1 << 16
 #: Characters of a run above which it is encoded by halves inside a leaf, too; characters of other chunks above which they are.
 RUN, CHUNK = 16, 1 << 12
 #: Runs, and characters of runs, of a worker's memo, and its slots; characters of texts that are split at a time.
-MEMO, MEMO_CHARS, SLOTS, BUFFER = 400_000, 1 << 23, 1 << 20, 1 << 19
+MEMO, MEMO_CHARS, SLOTS, BUFFER = 300_000, 1 << 22, 1 << 20, 1 << 18
 #: Kinds of characters: separators, letters that no normaliser changes but for their case, digits, ASCII punctuation without an apostrophe, others.
 SEPARATOR, LETTER, DIGIT, MARK, OTHER = range(5)
 #: Characters of decoded text that are held at a time.
