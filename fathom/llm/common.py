@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
@@ -11,40 +11,51 @@ from pyspark.sql import functions as F
 
 #: Java pattern of the ASCII white space that separates words.
 SPACE = r"[\x20\x09-\x0D]"
+#: Spark's switch that deletes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Read from spark.checkpoint.dir; a session without it (tests) gets a temporary one."""
+    """The folder all executors share, from spark.checkpoint.dir. Only where that is unset and Spark runs in one process, as in tests, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
+    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors. The write's shuffle files go when it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.path_of_table = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table of written() that nothing reads any more."""
-    path = getattr(df, "path_of_table", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "path_of_table", None):
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def tidy(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of steps that are written and no longer referred to."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number of each row. Rows that come straight from files have the same numbers whenever they are read; others are written once, with their numbers."""
+    out = df.withColumn(name, F.monotonically_increasing_id())
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    nodes = re.findall(r"^[ :+*()\d|-]*([A-Z]\w*)", plan, re.MULTILINE)
+    return out if set(nodes) <= {"FileScan", "Project", "Filter"} else written(out, "numbered")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from fathom.llm import licenses, linededup, quality, secretscan
 from fathom.llm.license_texts import NOTICES, TEXTS
 
@@ -33,7 +35,10 @@ def line_dedup(rows):
     return out
 
 
-def test_line_dedup_equals_brute_force(docs, rows, empty, spark):
+@pytest.mark.parametrize("crowd, top", [(256, 1 << 16), (2, 10)])
+def test_line_dedup_equals_brute_force(docs, rows, empty, spark, monkeypatch, crowd, top):
+    monkeypatch.setattr(linededup, "CROWD", crowd)
+    monkeypatch.setattr(linededup, "TOP", top)
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(30)]
     more = []
