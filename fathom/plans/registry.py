@@ -1,7 +1,7 @@
 """The registered queries over the driver's tables, each with SQL that gives the same rows.
 
 The documents table is the corpus, under synthetic paths; pages and part give
-addresses and identifiers. Parsers run on small literal repositories.
+addresses and identifiers, and a repository of code is made of part.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..operators import audit, overview, related, search, symbols
 from ..operators.index import Index
-from ..schema import CATEGORIES, LABELS
-from ..sources.corpus import from_documents, from_rows
+from ..schema import CATEGORIES, FINDINGS, LABELS
+from ..sources.corpus import from_documents
+from . import repository
 
-QUERY, RARE, SYMBOLIC = "the inhe", "Thing-ation of_the", "SearchIndex builder"
+QUERY, RARE, NAME = "the inhe", "Thing-ation of_the", "Brand13"
 
 
 def _index(spark: SparkSession, sf_dir: str) -> Index:
@@ -84,9 +85,19 @@ def normalized_paths(spark, sf_dir):
     return pages.select("page_id", paths.normalized(odd).alias("path"))
 
 
+#: Paths of all roles, in which # stands for a document's source, and their categories.
+ADDRESSES = [
+    ("#/units.rs", "SourceCode"), ("#/tests/units.md", "Test"), ("src/#_test.rs", "Test"), ("examples/#.json", "Example"), ("README.md", "Documentation"), ("#/notes.txt", "Documentation"), ("#.toml", "Configuration"),
+    ("deploy/#.JSON", "Configuration"), ("#/Cargo.toml", "ProjectMetadata"), ("package.json", "ProjectMetadata"), ("#/logo.png", "Unknown"), ("#.spec.ts", "Test"), ("Tests/#.md", "Test"), ("tests", "Unknown"),
+    ("a/EXAMPLES/#/c.txt", "Example"), ("#.yml", "Configuration"),
+]
+
+
 def classify(spark, sf_dir):
-    known = ["src/index.rs", "tests/index_tests.rs", "src/parser_test.rs", "examples/basic.rs", "README.md", "docs/search.txt", "config/a.toml", "config/settings.JSON", "Cargo.toml", "package.json", "assets/image.png", "a.spec.ts", "Tests/x.md", "tests", "deep/EXAMPLES/a/b.txt", "ci.yml"]
-    return spark.createDataFrame([(p,) for p in known], "path string").select("path", paths.category(F.col("path")).alias("category"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    which = F.element_at(F.array(*(F.lit(p) for p, _ in ADDRESSES)), (F.col("doc_id") % len(ADDRESSES) + 1).cast("int"))
+    made = docs.select("doc_id", F.replace(which, F.lit("#"), F.coalesce("source", F.lit("none"))).alias("path"))
+    return made.select("doc_id", "path", paths.category(F.col("path")).alias("category"))
 
 
 def _results(df: DataFrame) -> DataFrame:
@@ -146,49 +157,37 @@ def related_top(spark, sf_dir):
     return _flat(related.ranked(index, "docs/src8/doc_8.toml", 5, digits=6), "symbols", "file_terms", "shared_terms")
 
 
-RUST = """pub struct Engine;
-enum State { Ready }
-pub trait Run { fn run(&self); }
-impl Run for Engine { pub fn start(&self) {} }
-mod nested { pub(crate) const LIMIT: usize = 1; static ENABLED: bool = true; }
-type Id = usize;
-macro_rules! make_engine { () => {} }
-pub fn build() { let e = Engine; }
-"""
-REPOSITORY = [
-    ("Cargo.toml", '[package]\nname = "sample"\nversion = "0.1.0"\n'),
-    ("README.md", "Use [`src/engine.rs`](src/engine.rs) and `Engine`.\n\nMissing: `src/old.rs`, `initialize_server()`, `fathom update`, `--threads`, and `legacy_path = true`.\nPlanned: `src/later.rs`.\n"),
-    ("config/app.toml", 'storage_path = "index"\n'),
-    ("src/engine.rs", RUST),
-    ("src/main.rs", "use crate::engine::Engine;\nuse crate::{nested, state};\nfn main() { Engine::start(); }\n"),
-    ("src/broken.rs", "fn broken( {\n"),
-    ("tests/engine_tests.rs", "#[test] fn works() {}\n"),
-]
+def _code(spark: SparkSession, sf_dir: str) -> Index:
+    return Index(repository.corpus(spark, sf_dir))
 
 
 def rust_symbols(spark, sf_dir):
-    return Index(from_rows(spark, REPOSITORY)).symbols
+    return _code(spark, sf_dir).symbols
 
 
 def rust_failures(spark, sf_dir):
-    return Index(from_rows(spark, REPOSITORY)).parse_failures.select("doc_id", "path")
+    return _code(spark, sf_dir).parse_failures.select("doc_id", "path")
 
 
 def symbol_lookup(spark, sf_dir):
-    found = symbols.lookup(Index(from_rows(spark, REPOSITORY)), "Engine")
+    found = symbols.lookup(_code(spark, sf_dir), NAME)
     a = found.definitions.select(F.lit("definition").alias("role"), "relative_path", "line", "kind", "snippet")
     return a.union(found.references.select(F.lit("reference"), "relative_path", "line", F.lit(None).cast("string"), "snippet"))
 
 
 def symbol_boost(spark, sf_dir):
-    found = search.ranked(Index(from_rows(spark, REPOSITORY)), "Engine start", digits=6)
+    found = search.ranked(_code(spark, sf_dir), f"{NAME} weigh", digits=6)
     return found.select("relative_path", "exact_symbol", "file_name", "path", "category_boost")
 
 
+def related_symbols(spark, sf_dir):
+    """Files related to a Rust file, by its symbols too."""
+    return _flat(related.related(_code(spark, sf_dir), "src/unit_8.rs", digits=6), "symbols", "file_terms", "shared_terms")
+
+
 def audit_findings(spark, sf_dir):
-    index = Index(from_rows(spark, REPOSITORY))
-    refs = audit.references(index)
-    found = audit.unresolved(index, refs, ["index", "search"], ["--limit", "--help"])
+    index = _code(spark, sf_dir)
+    found = audit.unresolved(index, audit.references(index), ["index", "search"], ["--limit", "--help"])
     return found.join(index.corpus, "doc_id").select("relative_path", "line", "kind", "value", "confidence", "reason")
 
 
@@ -197,7 +196,7 @@ def audit_high(spark, sf_dir):
 
 
 def audit_counts(spark, sf_dir):
-    index = Index(from_rows(spark, REPOSITORY))
+    index = _code(spark, sf_dir)
     return audit.counters(index, audit.references(index))
 
 
@@ -211,7 +210,7 @@ def stale_paths(spark, sf_dir):
 
 
 def project_overview(spark, sf_dir):
-    one = overview.overview(Index(from_rows(spark, REPOSITORY)))
+    one = overview.overview(_code(spark, sf_dir))
     return _flat(one, *overview.LISTS, "workflow")
 
 
@@ -220,7 +219,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         tokens, identifiers, doc_lengths, postings, term_df, corpus_stats, category_counts, index_summary, top_terms, exact_term, path_parts, normalized_paths, classify,
         search_any, search_all, search_repeated, search_compound, search_filtered, search_top10, search_by_role, search_none, likely_references, related_files, related_top,
-        rust_symbols, rust_failures, symbol_lookup, symbol_boost, audit_findings, audit_high, audit_counts, stale_paths, project_overview,
+        rust_symbols, rust_failures, symbol_lookup, symbol_boost, related_symbols, audit_findings, audit_high, audit_counts, stale_paths, project_overview,
     )
 }
 
@@ -289,14 +288,6 @@ y AS (SELECT doc_id, relative_path, category, round(f * 2.0 + w + CASE category
 SELECT * FROM y {f"ORDER BY score DESC, string_split(relative_path, '/') LIMIT {limit}" if limit else ''}"""
 
 
-_FOUND = [
-    ("README.md", 3, "Path", "src/old.rs", "High", "No matching repository path exists"),
-    ("README.md", 3, "Symbol", "initialize_server", "Medium", "No exact Rust symbol is indexed"),
-    ("README.md", 3, "Command", "update", "High", "No matching CLI command is defined"),
-    ("README.md", 3, "Option", "--threads", "High", "No matching CLI option is defined"),
-    ("README.md", 3, "ConfigurationKey", "legacy_path", "Low", "No matching configuration key is indexed"),
-]
-
 _IDENTIFIERS = _tokens(
     "SELECT p_partkey AS doc_id, replace(p_name, ' ', '_') || ' ' || list_aggregate(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', '')"
     " || ' HTTP' || list_aggregate(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', '-') || ' __x2y_ -' AS content FROM part"
@@ -315,14 +306,8 @@ ORACLE_SQL: dict[str, str] = {
     "exact_term": f"WITH {_TK} SELECT term, doc_id, count(*) AS tf, string_agg(position::VARCHAR, ',' ORDER BY position) AS positions, string_agg(line::VARCHAR, ',' ORDER BY position) AS lines, min(line) AS first_line FROM tk WHERE term = 'inhe' GROUP BY term, doc_id",
     "path_parts": f"WITH docs AS ({_DOCS}) SELECT doc_id, string_split(relative_path, '/')[3] AS file_name, 'doc_' || doc_id AS stem, (['rs','md','txt','toml','json'])[1 + doc_id % 5] AS extension, list_aggregate(string_split(relative_path, '/')[1:2], 'string_agg', '/') AS parent, 'doc_' || doc_id || ',doc,' || doc_id AS stem_terms FROM docs",
     "normalized_paths": "WITH p AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> '' AND x <> '.') AS s FROM pages) SELECT page_id, list_aggregate(list_concat(['docs'], s[1:len(s) - 1], ['end.md']), 'string_agg', '/') AS path FROM p",
-    "classify": _values(
-        [
-            ("src/index.rs", "SourceCode"), ("tests/index_tests.rs", "Test"), ("src/parser_test.rs", "Test"), ("examples/basic.rs", "Example"), ("README.md", "Documentation"), ("docs/search.txt", "Documentation"),
-            ("config/a.toml", "Configuration"), ("config/settings.JSON", "Configuration"), ("Cargo.toml", "ProjectMetadata"), ("package.json", "ProjectMetadata"), ("assets/image.png", "Unknown"), ("a.spec.ts", "Test"),
-            ("Tests/x.md", "Test"), ("tests", "Unknown"), ("deep/EXAMPLES/a/b.txt", "Example"), ("ci.yml", "Configuration"),
-        ],
-        "path, category",
-    ),
+    "classify": f"SELECT doc_id, replace(list_extract([{', '.join(repr(p) for p, _ in ADDRESSES)}], (doc_id % {len(ADDRESSES)} + 1)::INTEGER), '#', coalesce(source, 'none')) AS path,"
+    f" list_extract([{', '.join(repr(c) for _, c in ADDRESSES)}], (doc_id % {len(ADDRESSES)} + 1)::INTEGER) AS category FROM documents",
     "search_any": _search(_G),
     "search_all": _search(_G, every=True),
     "search_repeated": _search([["inhe"], ["src3"], ["src3"], ["the"], ["inhe"]]),
@@ -334,31 +319,17 @@ ORACLE_SQL: dict[str, str] = {
     "likely_references": f"WITH {_TK}, l AS (SELECT DISTINCT doc_id, line FROM tk WHERE term = 'inhe') SELECT doc_id, line, trim(string_split(content, chr(10))[line]) AS snippet FROM l JOIN docs USING (doc_id) WHERE (doc_id, line) NOT IN (SELECT (doc_id, min(line)) FROM l GROUP BY doc_id)",
     "related_files": _related(),
     "related_top": _related(5),
-    "rust_symbols": _values(
-        [
-            (3, 1, "Struct", "Engine", "Public", None), (3, 2, "Enum", "State", "Private", None), (3, 3, "Trait", "Run", "Public", None), (3, 3, "Function", "run", "Private", "Run"), (3, 4, "Implementation", "Engine", "Private", None),
-            (3, 4, "Function", "start", "Public", "Engine"), (3, 5, "Module", "nested", "Private", None), (3, 5, "Constant", "LIMIT", "Crate", "nested"), (3, 5, "Static", "ENABLED", "Private", "nested"), (3, 6, "TypeAlias", "Id", "Private", None),
-            (3, 7, "Macro", "make_engine", "Private", None), (3, 8, "Function", "build", "Public", None), (4, 3, "Function", "main", "Private", None), (6, 1, "Function", "works", "Private", None),
-        ],
-        "doc_id, line, kind, name, visibility, parent",
-    ),
-    "rust_failures": _values([(5, "src/broken.rs")], "doc_id, path"),
-    "symbol_lookup": _values(
-        [
-            ("definition", "src/engine.rs", 1, "Struct", "pub struct Engine;"), ("definition", "src/engine.rs", 4, "Implementation", "impl Run for Engine { pub fn start(&self) {} }"), ("reference", "README.md", 1, None, "Use [`src/engine.rs`](src/engine.rs) and `Engine`."),
-            ("reference", "src/engine.rs", 7, None, "macro_rules! make_engine { () => {} }"), ("reference", "src/engine.rs", 8, None, "pub fn build() { let e = Engine; }"), ("reference", "src/main.rs", 1, None, "use crate::engine::Engine;"), ("reference", "src/main.rs", 3, None, "fn main() { Engine::start(); }"),
-        ],
-        "role, relative_path, line, kind, snippet",
-    ),
-    "symbol_boost": "SELECT relative_path, exact_symbol::DOUBLE AS exact_symbol, file_name::DOUBLE AS file_name, path::DOUBLE AS path, category_boost::DOUBLE AS category_boost FROM ("
-    + _values([("src/engine.rs", 8.0, 2.0, 0.0, 0.3), ("src/main.rs", 0.0, 0.0, 0.0, 0.3), ("README.md", 0.0, 0.0, 0.0, 0.25)], "relative_path, exact_symbol, file_name, path, category_boost")
-    + ")",
-    "audit_findings": _values(_FOUND, "relative_path, line, kind, value, confidence, reason"),
-    "audit_high": _values([f for f in _FOUND if f[4] == "High"], "relative_path, line, kind, value, confidence, reason"),
-    "audit_counts": "SELECT 1::BIGINT AS documents_checked, 7::BIGINT AS references_checked",
+    "rust_symbols": repository.SYMBOLS,
+    "rust_failures": repository.FAILURES,
+    "symbol_lookup": repository.lookup_sql(NAME),
+    "symbol_boost": repository.boost_sql(NAME),
+    "related_symbols": repository.related_sql(_tokens(repository.sql()), 8),
+    "audit_findings": repository.findings_sql(FINDINGS),
+    "audit_high": repository.findings_sql(FINDINGS, ("High",)),
+    "audit_counts": repository.COUNTS,
     "stale_paths": f"""WITH docs AS ({_DOCS}), v AS (SELECT doc_id, relative_path, '../' || (['src','tests','docs'])[1 + doc_id % 3] || '/src' || doc_id % 20 || '/doc_' || doc_id || '.md' AS value FROM docs),
 p AS (SELECT doc_id, 'Path' AS kind, value, 'High' AS confidence, value[4:] AS root, string_split(relative_path, '/')[1] || '/' || value[4:] AS here FROM v)
 SELECT doc_id, kind, value, confidence FROM p WHERE root NOT IN (SELECT relative_path FROM docs) AND here NOT IN (SELECT relative_path FROM docs)
 UNION ALL SELECT doc_id, 'Module', 'a::doc_' || doc_id, 'Medium' FROM docs WHERE doc_id % 5 <> 0""",
-    "project_overview": _values([("RustCli", "sample", "src/main.rs", "src/broken.rs,src/engine.rs", "Cargo.toml,config/app.toml", "tests/engine_tests.rs", "", "main,engine,nested,state", None)], "project_kind, package_name, entry_points, core_modules, configuration, tests, examples, workflow, manifest_error"),
+    "project_overview": repository.OVERVIEW,
 }
