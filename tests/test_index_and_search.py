@@ -15,12 +15,12 @@ def index_of(spark, *rows):
 
 
 def test_postings_and_statistics(spark):
-    index = index_of(spark, ("src/a.rs", "SearchIndex search\nsearch"), ("src/b.rs", "search engine"))
-    assert tuple(index.stats.first()) == (2, 5, 2.5)
-    assert index.term_df.where("term = 'search'").first().df == 2
-    assert [tuple(r) for r in index.postings_for("search").select("doc_id", "tf", "positions", "lines").collect()] == [(0, 3, [0, 1, 2], [1, 1, 2]), (1, 1, [0], [1])]
-    assert index.postings_for("searchindex").first().positions == [0]
-    assert index.postings_for("missing").count() == 0
+    index = index_of(spark, ("src/ebb.rs", "tide\n\nTidePool tide pool"), ("src/flow.rs", "pool"), ("src/none.rs", ""))
+    assert tuple(r if i < 2 else round(r, 6) for i, r in enumerate(index.stats.first())) == (3, 5, 1.666667)
+    assert {r.term: r.df for r in index.term_df.collect()} == {"tide": 1, "tidepool": 1, "pool": 2}
+    assert [tuple(r) for r in index.postings_for("pool").select("doc_id", "tf", "positions", "lines").collect()] == [(0, 2, [1, 3], [3, 3]), (1, 1, [0], [1])]
+    assert index.postings_for("tide").first().positions == [0, 1, 2]
+    assert index.postings_for("moon").count() == 0
 
 
 def test_empty_corpus(spark):
@@ -35,33 +35,31 @@ def found(index, query, **kw):
 
 
 def test_any_orders_by_score_and_ignores_repeats(spark):
-    index = index_of(spark, ("a", "search search index"), ("b", "ranking search"), ("c", "ranking"))
-    got = found(index, "search ranking")
-    assert [r.relative_path for r in got] == ["b", "c", "a"]
-    assert [r.matched_terms for r in got] == [["ranking", "search"], ["ranking"], ["search"]]
+    index = index_of(spark, ("x", "moon tide"), ("y", "tide sand sand sand sand"), ("z", "sand"), ("w", "moon"), ("v", "sand sand"))
+    got = found(index, "moon tide")
+    assert [r.relative_path for r in got] == ["x", "w", "y"]
+    assert [r.matched_terms for r in got] == [["moon", "tide"], ["moon"], ["tide"]]
     assert got[0].score > got[1].score > got[2].score
-    assert found(index, "search search")[0].score == found(index, "search")[0].score
+    assert [r.score for r in found(index, "tide tide moon")] == [r.score for r in got]
 
 
 def test_all_needs_every_token(spark):
-    index = index_of(spark, ("a", "search only"), ("b", "ranking\nsearch"))
-    assert [(r.relative_path, r.line) for r in found(index, "search ranking", match_all=True)] == [("b", 1)]
-    index = index_of(spark, ("src/index.rs", "search index"))
-    assert [r.matched_terms for r in found(index, "SearchIndex", match_all=True)] == [["index", "search"]]
+    index = index_of(spark, ("x", "ebb"), ("y", "flow\nand\nebb"), ("z", "tide_pool"))
+    assert [(r.relative_path, r.line) for r in found(index, "ebb flow", match_all=True)] == [("y", 1)]
+    assert [r.matched_terms for r in found(index, "TidePool", match_all=True)] == [["pool", "tide"]]
 
 
 def test_boosts(spark):
-    index = index_of(spark, ("src/index.rs", "index"), ("src/other.rs", "index"), ("index/guide.md", "index", "Documentation"))
-    first, second = found(index, "index")[:2]
-    assert (first.relative_path, first.file_name, first.path, first.category_boost) == ("src/index.rs", 2.0, 0.0, 0.30)
-    assert (second.relative_path, second.file_name, second.path, second.category_boost) == ("index/guide.md", 0.0, 1.0, 0.25)
-    twice = found(index, "index index")[0]
-    assert (twice.file_name, twice.bm25) == (4.0, first.bm25)
+    index = index_of(spark, ("a/tide.rs", "tide"), ("tide/a.md", "tide", "Documentation"), ("tide/tide.rs", "tide", "Test"), ("a/b.rs", "tide", "Unknown"))
+    got = {r.relative_path: (r.file_name, r.path, r.category_boost) for r in found(index, "tide")}
+    assert got == {"a/tide.rs": (2.0, 0.0, 0.30), "tide/a.md": (0.0, 1.0, 0.25), "tide/tide.rs": (2.0, 1.0, 0.15), "a/b.rs": (0.0, 0.0, 0.0)}
+    twice = {r.relative_path: (r.file_name, r.bm25) for r in found(index, "tide tide")}
+    assert twice["a/tide.rs"] == (4.0, {r.relative_path: r.bm25 for r in found(index, "tide")}["a/tide.rs"])
 
 
-@pytest.mark.parametrize("query, boost", [("SearchIndex", 4.0), ("searchindex", 0.0), ("MySearchIndex", 0.0), ("a-SearchIndex", 4.0)])
+@pytest.mark.parametrize("query, boost", [("TideGauge", 4.0), ("tidegauge", 0.0), ("NewTideGauge", 0.0), ("new-TideGauge", 4.0)])
 def test_symbol_boost(spark, query, boost):
-    index = index_of(spark, ("src/model.rs", "pub struct SearchIndex;\nimpl SearchIndex {}"))
+    index = index_of(spark, ("src/sea.rs", "struct TideGauge { new: u8 }\nimpl TideGauge {}"))
     assert [r.exact_symbol for r in found(index, query)] == [boost]
 
 
