@@ -297,3 +297,16 @@ def test_sharding(docs, rows, empty):
     few = sharding.shard(written(sharding.measured(docs.where("doc_id < 3")), "m")).collect()
     assert sorted((r.shard, r.slot) for r in few) == [(0, 0), (1, 0), (2, 0)]
     assert sharding.shard(written(sharding.measured(empty), "m")).count() == 0
+    own = written(sharding.measured(docs.withColumns({c: F.lit("mine") for c in ("part", "g", "curve", "dim_0", "group_0")}), keep=("lang", "source", "part", "g", "curve", "dim_0", "group_0")), "m")
+    clash = sharding.shard(own).collect()
+    assert {(r.part, r.g, r.curve, r.dim_0, r.group_0) for r in clash} == {("mine",) * 5} and Counter((r.doc_id, r.shard) for r in clash) == Counter((r.doc_id, r.shard) for r in out)
+
+
+def test_equal_texts_are_neighbours(spark):
+    """Whatever their metadata: a group lies in as few shards as its slots allow."""
+    rows = [(i, f"text {i % 37}", f"l{i % 5}", f"s{i % 11}") for i in range(800)]
+    out = sharding.shard(written(sharding.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")), "m")).collect()
+    at = {r.doc_id: r.shard * 100 + r.slot for r in out}
+    for k in range(37):
+        places = sorted(at[i] for i in range(k, 800, 37))
+        assert places == list(range(places[0], places[0] + len(places)))
