@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import numbered, released
 from .spans import hashes, rolling, within
 
 #: Characters of a leaf; longer texts are encoded on several tasks.
@@ -477,6 +478,8 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
                 ids = enc.encode(part)
                 back = [pa.array([decoder(path).text(np.frombuffer(x, dtype="<u4")) for x in ids], pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays([*rest.columns, arrow(ids), *back], names=[*rest.schema.names, "ids", *["decoded"] * len(back)])
+        if enc.cuts:
+            enc._forget()  # an idle worker keeps no memo
 
     def cut(frames):
         import pyarrow as pa
@@ -505,10 +508,10 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
         return pd.DataFrame({"row": pdf.row.iloc[:1], "joined": [np.array(ids, dtype="<u4").tobytes()]})
 
     long = F.length("x") > leaf
-    short = base.where(~F.coalesce(long, F.lit(False))).mapInArrow(whole, T.StructType([*fields, made, *[T.StructField("decoded", T.StringType())] * bool(decoded)]))
-    rows = base.where(long).withColumn("row", F.monotonically_increasing_id())
+    short = base.where(~F.coalesce(long, F.lit(False))).mapInArrow(released(whole), T.StructType([*fields, made, *[T.StructField("decoded", T.StringType())] * bool(decoded)]))
+    rows = numbered(base.where(long), "row")
     leaves = rows.select("row", "x").mapInArrow(cut, "row long, n int, part string, hard boolean").repartition("row", "n")
-    whole_ids = leaves.mapInArrow(parts, "row long, n int, hard boolean, part_ids binary").groupBy("row").applyInPandas(joined, "row long, joined binary")
+    whole_ids = leaves.mapInArrow(released(parts), "row long, n int, hard boolean, part_ids binary").groupBy("row").applyInPandas(joined, "row long, joined binary")
     if not packed:
         whole_ids = whole_ids.mapInArrow(
             lambda bs: (__import__("pyarrow").RecordBatch.from_arrays([b.column("row"), arrow(b.column("joined").to_pylist())], names=["row", "joined"]) for b in bs), "row long, joined array<int>"

@@ -41,6 +41,25 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def released(run):
+    """run, a function over Arrow batches, at whose end an idle worker gives back the memory that it has freed."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables of written() that nothing reads any more."""
     for df in tables:

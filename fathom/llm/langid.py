@@ -30,6 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
 from .spans import hashes, rolling, within
 
 #: Training rows and characters of a language; longest n-gram.
@@ -187,7 +188,7 @@ def train(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str =
         for lang, x in found.items():
             yield out(lang, x)
 
-    counts = some.mapInArrow(count, "lang int, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    counts = some.mapInArrow(released(count), "lang int, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     got = counts.toArrow()  # bounded by the sample
     lang_of, kind_of, n = (got.column(c).to_numpy() for c in ("lang", "kind", "n"))
     keys, first, at = np.unique(got.column("key").to_numpy().view("u8"), return_index=True, return_inverse=True)
@@ -266,7 +267,7 @@ def identify(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([b.column("doc"), names.take(pa.array(best)), pa.array(score)], names=["doc", "lang_pred", "score"])
 
     kind = docs.schema[doc].dataType.simpleString()
-    return docs.select(F.col(doc).alias("doc"), F.col(text).alias("x")).mapInArrow(run, f"doc {kind}, lang_pred string, score double").toDF(doc, "lang_pred", "score")
+    return docs.select(F.col(doc).alias("doc"), F.col(text).alias("x")).mapInArrow(released(run), f"doc {kind}, lang_pred string, score double").toDF(doc, "lang_pred", "score")
 
 
 def known_language(docs: DataFrame, model: Model, least: float = 0.5, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,4 +281,4 @@ def known_language(docs: DataFrame, model: Model, least: float = 0.5, doc: str =
             best, score = predictions(sent.value, (t.as_py() for t in b.column(text)), len(b))
             yield b.filter(pa.array((best >= 0) & (score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

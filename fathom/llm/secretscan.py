@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, numbered, written
 
 #: Kinds in the order in which equal starts are listed: pattern, and least length of a match or, for assign, of its second group.
 ASSIGN = "(?:(?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -203,7 +203,7 @@ def _listed(spans: Column) -> Column:
 
 def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, found): found is an array of (start, kind, end), in that order, empty where there is none."""
-    rows = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("row", F.monotonically_increasing_id())
+    rows = numbered(docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t")), "row")
     found = spans(rows, "t").groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), "kind", F.col("end").cast("long").alias("end")))).alias("found"))
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     return rows.select("row", "doc").join(found, "row", "left").select(F.col("doc").alias(doc), F.coalesce("found", empty).alias("found"))
@@ -219,7 +219,7 @@ def digests(found: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, doc: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs, with each span in the text replaced by mark; texts without a span, null among them, stay as they are."""
     row, cuts = fresh(docs, "secret_row"), fresh(docs, "secret_cuts")
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = numbered(docs, row)
     found = spans(rows.select(row, F.coalesce(F.col(text), F.lit("")).alias("t")), "t", row)
     # spans that overlap or touch are one: a span begins where nothing before reaches it
     by = Window.partitionBy("row").orderBy("start", "end")

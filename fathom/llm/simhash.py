@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, partitions, written
+from .common import fresh, numbered, partitions, released, written
 from .components import components
 
 SHINGLE, MOST, SEED = 4, 4, 42
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", keep:
 
     names = [doc, *keep]
     schema = T.StructType([*(T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(names)), T.StructField("fp", T.LongType())])
-    return docs.select(*(docs[c].alias(f"k{i}") for i, c in enumerate(names)), docs[text].alias("x")).mapInArrow(run, schema).toDF(*names, "fp")
+    return docs.select(*(docs[c].alias(f"k{i}") for i, c in enumerate(names)), docs[text].alias("x")).mapInArrow(released(run), schema).toDF(*names, "fp")
 
 
 def pivots(n: int):
@@ -175,7 +175,7 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", most: int
 def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
     """docs with one row of each class: that of the smallest id, nulls last; of rows with that id the first."""
     row = fresh(docs, "simhash_row")
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = numbered(docs, row)
     of = classes(rows, doc, text, most, (row,))
     first = of.groupBy("root").agg(F.min(F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("id"), F.col(row).alias("row"))).alias("first"))
     return rows.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
