@@ -25,7 +25,7 @@ def label(category: str) -> str:
 def summary(index: Index) -> dict:
     one = index.summary().first()
     counts = {r.label: r.files for r in index.category_counts().orderBy("ordinal").collect()}
-    return {"files": one.files, "symbols": one.symbols, "unique_terms": one.unique_terms, "posting_entries": one.posting_entries, "tokens": one.tokens, "average_document_length": one.avg_len, "categories": counts}
+    return {"files": one.files, "symbols": one.symbols, "unique_terms": one.unique_terms, "posting_entries": one.posting_entries, "source_tokens": one.tokens, "average_document_length": one.avg_len, "categories": counts}
 
 
 def root(program: str, version: str, commands: dict[str, str]) -> dict:
@@ -74,7 +74,7 @@ def overview(repository: str, built: Index) -> dict:
 def related(repository: str, built: Index, path: str, limit: int | None) -> dict:
     source = built.corpus.where(built.corpus.doc_id == related_op.source_id(built, path)).first().relative_path
     results = [
-        {"path": r.relative_path, "category": label(r.category), "score": r.score, "confidence": r.confidence.lower(), "evidence": {"symbols": r.symbols, "file_terms": r.file_terms, "shared_terms": r.shared_terms}}
+        {"path": r.relative_path, "category": label(r.category), "score": r.score, "confidence": r.confidence, "evidence": {"symbols": r.symbols, "file_terms": r.file_terms, "shared_terms": r.shared_terms}}
         for r in related_op.ranked(built, path, limit).collect()
     ]
     return {"command": "related", "repository": repository, "source": source, "results": results}
@@ -90,8 +90,8 @@ def audit(repository: str, built: Index, confidence: str, program: str, commands
     found = audit_op.in_order(audit_op.at_least(audit_op.unresolved(built, refs, commands, options), confidence))
     shown = found.join(built.corpus.select("doc_id", "relative_path", "content"), "doc_id").withColumn("snippet", text.snippet(F.col("content"), F.col("line")))
     rows = audit_op.in_order(shown.drop("content")).collect()
-    findings = [{"path": r.relative_path, "line": r.line, "kind": REFERENCE_LABELS[REFERENCE_KINDS.index(r.kind)], "reference": r.value, "confidence": r.confidence.lower(), "reason": r.reason, "snippet": r.snippet} for r in rows]
-    return {"command": "audit-docs", "repository": repository, "minimum_confidence": confidence, "documents_checked": counts.documents_checked, "references_checked": counts.references_checked, "findings": findings}
+    findings = [{"path": r.relative_path, "line": r.line, "kind": REFERENCE_LABELS[REFERENCE_KINDS.index(r.kind)], "reference": r.value, "confidence": r.confidence, "reason": r.reason, "snippet": r.snippet} for r in rows]
+    return {"command": "audit-docs", "repository": repository, "minimum_confidence": confidence.capitalize(), "documents_checked": counts.documents_checked, "references_checked": counts.references_checked, "findings": findings}
 
 
 def stats(repository: str, snapshot) -> dict:

@@ -68,7 +68,8 @@ def test_commands(spark, repo):
     assert call(spark, "symbol", "build_search_index", "-d", repo)["definitions"][0]["kind"] == "Function"
     assert call(spark, "overview", "-d", repo)["project_type"] == "Rust CLI application"
     assert call(spark, "related", "src/main.rs", "-d", repo)["source"] == "src/main.rs"
-    assert call(spark, "audit-docs", "-d", repo, "--confidence", "high")["documents_checked"] == 1
+    audited = call(spark, "audit-docs", "-d", repo, "--confidence", "high")
+    assert audited["documents_checked"] == 1 and audited["minimum_confidence"] == "High" and {f["confidence"] for f in audited["findings"]} <= {"High"}
     figures = call(spark, "stats", "-d", repo)
     assert figures["summary"] == done["summary"]
     assert call(spark, "clear", "-d", repo)["removed"] is True
