@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 #: Spark's switch that deletes the shuffle files of a query at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For a write: shuffle files go at its end, and the driver keeps a bounded description of the plan, whose literals can be long.
+WRITING = {CLEANUP: "true", "spark.sql.maxPlanStringLength": "65536"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,12 +32,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors. The write's shuffle files go when it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.path_of_table = path
     return out

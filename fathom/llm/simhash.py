@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, numbered, partitions, released, written
+from . import neardup
+from .common import forget, fresh, numbered, partitions, released, written
 from .components import components
 
 SHINGLE, MOST, SEED = 4, 4, 42
@@ -172,12 +173,30 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", most: int
     return marks.join(of, "fp").select(doc, *keep, "fp", "component_id", "root")
 
 
-def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
-    """docs with one row of each class: that of the smallest id, nulls last; of rows with that id the first."""
+def near_rows(docs: DataFrame, row: str, text: str = "text", most: int = MOST, shingle: int = SHINGLE) -> DataFrame:
+    """(u, v): pairs of rows that join all rows whose fingerprints are linked, not each link, as a written table."""
+    marks = written(fingerprints(docs, row, text, (), shingle), "fingerprints")
+    groups = written(marks.groupBy("fp").agg(F.min(row).alias("least")), "distinct-fingerprints")
+    same = marks.join(groups, "fp").where(F.col(row) > F.col("least")).select(F.col("least").alias("u"), F.col(row).alias("v"))
+    side = lambda x: groups.select(F.col("fp").alias(x), F.col("least").alias(f"row_{x}"))
+    near = links(groups, most).join(side("u"), "u").join(side("v"), "v").select(F.col("row_u").alias("u"), F.col("row_v").alias("v"))
+    out = written(same.union(near), "near-rows")
+    forget(marks, groups)
+    return out
+
+
+def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", most: int = MOST, shingle: int = neardup.SHINGLE) -> DataFrame:
+    """docs with one row of each class of near-duplicates: that of the smallest id, nulls last; of rows with that id the first.
+
+    Classes are by the Jaccard similarity of the shingle sets: links of fingerprints are verified by it, and the pairs
+    that differ in more bits come from an exact join (see `neardup`).
+    """
     row = fresh(docs, "simhash_row")
     rows = numbered(docs, row)
-    of = classes(rows, doc, text, most, (row,))
-    first = of.groupBy("root").agg(F.min(F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("id"), F.col(row).alias("row"))).alias("first"))
+    found = near_rows(rows, row, text, most, shingle)
+    of = neardup.classes(rows, row, text, found, shingle).join(rows.select(row, F.col(doc).alias("id")), row)
+    forget(found)
+    first = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(row).alias("row"))).alias("first"))
     return rows.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
