@@ -57,6 +57,21 @@ def test_line_dedup_equals_brute_force(docs, rows, empty, spark, monkeypatch, cr
     assert linededup.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("share", [1, 3, 1 << 40])
+def test_line_dedup_whatever_share_of_rows_orders_words(docs, rows, monkeypatch, share):
+    monkeypatch.setattr(linededup, "SHARE", share)
+    got = Counter((r.doc_id, r.text, r.line_dedup and r.line_dedup.n_removed) for r in linededup.dedup(docs).collect())
+    assert got == Counter(line_dedup(rows))
+
+
+def test_line_dedup_without_emptied_documents(spark):
+    texts = [(1, "a b c\n\n \t\nd e"), (2, "A b c\n\n"), (3, None), (4, ""), (5, " \n\x0b"), (6, "d e\nnew one"), (7, "\x01\na b c"), (8, "\u00e9t\u00e9"), (9, "\u00c9t\u00e9\n")]
+    table = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    want = [(d, t, n) for (d, t, n) in line_dedup(texts) if not (n and not SPACE.search(t))]
+    got = [(r.doc_id, r.text, r.line_dedup and r.line_dedup.n_removed) for r in linededup.dedup(table, emptied=False).orderBy("doc_id").collect()]
+    assert got == want and [d for d, *_ in got] == [1, 3, 4, 5, 6, 7, 8]
+
+
 def measures(text):
     words = SPACE.findall(text or "")
     windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
