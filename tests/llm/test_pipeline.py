@@ -103,3 +103,10 @@ def test_exact_join_alone_finds_every_class(spark):
     mine = {r.id: r.root for r in got}
     pairs = {(top(i), mine[i]) for i in range(len(texts))}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) < len(texts)
+
+
+def test_line_dedup_makes_each_text_once(spark, docs):
+    import corpus_pipeline as pipeline
+
+    plan = pipeline.lines(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join(") == 1
