@@ -110,3 +110,16 @@ def test_line_dedup_makes_each_text_once(spark, docs):
 
     plan = pipeline.lines(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_join(") == 1
+
+
+def test_driver_garbage_goes_when_the_heap_is_past_half():
+    from types import SimpleNamespace as Some
+
+    from fathom.llm.common import tidy
+
+    for used, times in ((400, 0), (500, 0), (501, 1), (1000, 1)):
+        calls = []
+        heap = Some(totalMemory=lambda: used, maxMemory=lambda: 1000)  # noqa: B023
+        lang = Some(Runtime=Some(getRuntime=lambda: heap), System=Some(gc=lambda: calls.append(1)))  # noqa: B023
+        tidy(Some(_jvm=Some(java=Some(lang=lang))))
+        assert len(calls) == times
