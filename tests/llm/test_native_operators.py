@@ -72,6 +72,28 @@ def test_line_dedup_without_emptied_documents(spark):
     assert got == want and [d for d, *_ in got] == [1, 3, 4, 5, 6, 7, 8]
 
 
+@pytest.mark.parametrize("least, rounds", [(1 << 40, 1), (0, 2)])
+def test_line_dedup_reads_texts_again_for_crowded_words_only_if_there_are_any(spark, monkeypatch, least, rounds):
+    """Either way the result is that of brute force, for sets on either side of WIDE and LONG, whose copies lie in any order."""
+    monkeypatch.setattr(linededup, "NEAR", least)
+    monkeypatch.setattr(linededup, "CROWD", 2)
+    tables, write = [], linededup.written
+    monkeypatch.setattr(linededup, "written", lambda df, what: (tables.append(what), write(df, what))[1])
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(700)]
+    texts = []
+    for k, size in enumerate([4, 9, 10, 45, 60, 63, 64, 65, 66, 80, 130, 200] * 2):
+        base = rng.sample(vocabulary, size)
+        for lost in (0, size // 10, size // 9, size // 6, size // 5, size // 4, size // 3):
+            line = [w.upper() if rng.random() < 0.1 else w for w in base[lost:]] + rng.sample(vocabulary, lost // 3)
+            rng.shuffle(line)
+            texts.append(((len(texts) * 61) % 1009, "\t".join(line) + f"\nonly {k} here {lost} of all"))
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.text, r.line_dedup.n_removed) for r in linededup.dedup(table).collect())
+    assert got == Counter(line_dedup(texts)) and sum(n * many for (_, _, n), many in got.items()) > 20
+    assert tables.count("pairs") == rounds
+
+
 def measures(text):
     words = SPACE.findall(text or "")
     windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
