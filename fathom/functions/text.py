@@ -2,32 +2,48 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-IDENTIFIER = r"[\p{IsAlphabetic}\p{N}_-]+"
+PART = r"[a-zA-Z0-9\p{IsAlphabetic}\p{N}]+"
+TOKEN = r"[a-zA-Z0-9\p{IsAlphabetic}\p{N}](?:[a-zA-Z0-9_\-\p{IsAlphabetic}\p{N}]*[a-zA-Z0-9\p{IsAlphabetic}\p{N}])?"
 NAME = r"[\p{IsAlphabetic}\p{N}_]+"
 CAMEL = r"(?<=\p{IsLowercase})(?=\p{IsUppercase})|(?<=\p{IsUppercase})(?=\p{IsUppercase}\p{IsLowercase})"
 
 
-def source_tokens(text: Column) -> Column:
-    """array<struct<s,line>>: the raw tokens of a text in order, with 1-based lines. A token of marks only does not count."""
+def words(text: Column) -> Column:
+    """array<string>: the raw tokens of a text in order, without marks at either end. A token of marks only does not count."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
-    def of_line(line: Column, n: Column) -> Column:
-        trimmed = lambda t: F.regexp_replace(t, "^[_-]+|[_-]+$", "")
-        plain = lambda t: F.struct(F.when(t.rlike("^[_-]|[_-]$"), trimmed(t)).otherwise(t).alias("s"), (n + 1).cast("int").alias("line"))
-        return F.transform(F.regexp_extract_all(line, F.lit(IDENTIFIER), F.lit(0)), plain)
 
-    lines = F.split(text, "\n", -1)
-    return F.filter(F.flatten(F.transform(lines, of_line)), lambda t: t["s"] != "")
+def source_tokens(text: Column) -> Column:
+    """array<struct<s,line>>: the raw tokens of a text in order, with 1-based lines."""
+    of_line = lambda line, n: F.transform(words(line), lambda t: F.struct(t.alias("s"), (n + 1).cast("int").alias("line")))
+    return F.flatten(F.transform(F.split(text, "\n", -1), of_line))
 
 
 def variants(token: Column) -> Column:
     """The lower-cased token, then its snake, kebab and camel parts that differ from what came before."""
-    segments = F.filter(F.split(token, "[_-]", -1), lambda g: g != "")
-    parts = F.transform(F.flatten(F.transform(segments, lambda g: F.split(g, CAMEL, -1))), F.lower)
-    compound = token.rlike("[_-]|" + CAMEL)
-    return F.when(compound, F.array_distinct(F.concat(F.array(F.lower(token)), parts))).otherwise(F.array(F.lower(token)))
+    cut = "[_-]|" + CAMEL
+    parts = F.array_remove(F.split(F.lower(F.regexp_replace(token, cut, "\n")), "\n", -1), "")
+    return F.when(token.rlike(cut), F.array_distinct(F.concat(F.array(F.lower(token)), parts))).otherwise(F.array(F.lower(token)))
+
+
+def bag(text: Column) -> Column:
+    """The distinct terms of a text of any length, without their places. Sigma and dotted I are lower-cased by what stands beside them, so texts with these are cut first."""
+    parts = F.regexp_extract_all(F.lower(F.regexp_replace(text, CAMEL, "\n")), F.lit(PART), F.lit(0))
+    return F.when(text.rlike("[\u0130\u03a3]"), terms(text)).otherwise(F.array_distinct(F.concat(words(F.lower(text)), parts)))
+
+
+def may_have(text: Column, terms: list[str]) -> Column:
+    """True for every text with one of the terms, and for others in which one stands within a word; reads the text once per term."""
+    plain = lambda x: F.translate(x, "\u03c2", "\u03c3")
+    few = [t for t in terms if not any(o != t and o in t for o in terms)]
+    low = plain(F.lower(text)) if any(c in t for t in few for c in "\u03c2\u03c3") else F.lower(text)
+    hits = [F.contains(low, F.lit(t.replace("\u03c2", "\u03c3"))) for t in few]
+    return reduce(lambda a, b: a | b, hits, F.lit(False))
 
 
 def terms(text: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
@@ -25,36 +25,66 @@ class Index:
         role = F.col(category) if category else paths.category(F.col("relative_path"))
         self.corpus = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "relative_path", role.alias("category"), "content")
         self.spark: SparkSession = corpus.sparkSession
+        self.saved = False
 
     @cached_property
     def documents(self) -> DataFrame:
         """(doc_id, relative_path, category, content, token_count); texts of null have no tokens."""
-        n = F.coalesce(F.size(text.source_tokens(F.col("content"))), F.lit(0))
+        n = F.regexp_count(F.col("content"), F.lit(text.TOKEN))
         return self.corpus.withColumn("token_count", F.when(F.col("content").isNull(), 0).otherwise(n).cast("long"))
 
+    @cached_property
+    def _keyed(self) -> bool:
+        """Whether no two documents share a doc_id: then all postings of a document come from one row, and need no exchange."""
+        return self.corpus.groupBy("doc_id").count().where("count > 1").isEmpty()
+
     @cached_property
     def tokens(self) -> DataFrame:
         """(doc_id, term, position from 0, line from 1); the variants of a token share both."""
-        raw = self.corpus.select("doc_id", F.posexplode(text.source_tokens(F.col("content"))).alias("position", "t"))
+        return self._tokens_of(self.corpus)
+
+    def _tokens_of(self, docs: DataFrame) -> DataFrame:
+        raw = docs.select("doc_id", F.posexplode(text.source_tokens(F.col("content"))).alias("position", "t"))
         return raw.select("doc_id", "position", F.col("t.line").alias("line"), F.explode(text.variants(F.col("t.s"))).alias("term")).select("doc_id", "term", "position", "line")
 
     @cached_property
     def postings(self) -> DataFrame:
         """(term, doc_id, tf, positions, lines, first_line)"""
+        return self._gathered(self.tokens)
+
+    @staticmethod
+    def _gathered(tokens: DataFrame) -> DataFrame:
         places = F.array_sort(F.collect_list(F.struct("position", "line")))
-        return self.tokens.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), places.alias("p"), F.min("line").alias("first_line")).select(
+        return tokens.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), places.alias("p"), F.min("line").alias("first_line")).select(
             "term", "doc_id", "tf", F.col("p.position").alias("positions"), F.col("p.line").alias("lines"), "first_line"
         )
 
     @cached_property
     def frequencies(self) -> DataFrame:
         """(term, doc_id, tf, first_line): postings without their places, which need no gathering."""
-        return self.tokens.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.min("line").alias("first_line"))
+        return self._counted(self.tokens)
+
+    @staticmethod
+    def _counted(tokens: DataFrame) -> DataFrame:
+        return tokens.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.min("line").alias("first_line"))
+
+    def frequencies_of(self, terms: list[str]) -> DataFrame:
+        """The frequencies of some terms. Texts in which none of them stands are not cut into tokens."""
+        if self.saved:
+            return self.frequencies.where(F.col("term").isin(*terms))
+        return self._counted(self._tokens_of(self.corpus.where(text.may_have(F.col("content"), terms))).where(F.col("term").isin(*terms)))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """(term, doc_id), distinct: frequencies without counts, which a document's row gives alone."""
+        if self.saved or not self._keyed:
+            return self.frequencies.select("term", "doc_id")
+        return self.corpus.select(F.explode(text.bag(F.col("content"))).alias("term"), "doc_id")
 
     @cached_property
     def term_df(self) -> DataFrame:
         """(term, df)"""
-        return self.frequencies.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return self.pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -68,7 +98,15 @@ class Index:
     @cached_property
     def symbols(self) -> DataFrame:
         """(doc_id, line, kind, name, visibility, parent)"""
-        return self._parsed.where("failure is null").select("doc_id", "line", "kind", "name", "visibility", "parent")
+        return self._symbols_of(self._parsed)
+
+    @staticmethod
+    def _symbols_of(parsed: DataFrame) -> DataFrame:
+        return parsed.where("failure is null").select("doc_id", "line", "kind", "name", "visibility", "parent")
+
+    def symbols_where(self, cond: Column) -> DataFrame:
+        """The symbols of the documents for which cond holds, perhaps of others too; no other file is parsed. cond is on columns of the corpus."""
+        return self.symbols if self.saved else self._symbols_of(extract_symbols(self.corpus.where(cond)))
 
     @cached_property
     def parse_failures(self) -> DataFrame:
@@ -76,7 +114,10 @@ class Index:
         return self._parsed.where("failure is not null").join(self.corpus.select("doc_id", F.col("relative_path").alias("path")), "doc_id").select("doc_id", "path", F.col("failure").alias("message"))
 
     def postings_for(self, term: str) -> DataFrame:
-        return self.postings.where(F.col("term") == term).orderBy("doc_id")
+        if self.saved:
+            return self.postings.where(F.col("term") == term).orderBy("doc_id")
+        tokens = self._tokens_of(self.corpus.where(text.may_have(F.col("content"), [term])))
+        return self._gathered(tokens.where(F.col("term") == term)).orderBy("doc_id")
 
     def category_counts(self) -> DataFrame:
         """(ordinal, category, label, files) for every category, those without files too."""
@@ -101,6 +142,7 @@ class Index:
     def load(cls, spark: SparkSession, folder: str) -> Index:
         docs = spark.read.parquet(f"{folder}/documents")
         out = cls(docs, "category")
+        out.saved = True
         out.documents = docs
         out.postings = spark.read.parquet(f"{folder}/postings")
         out.frequencies = out.postings.select("term", "doc_id", "tf", "first_line")

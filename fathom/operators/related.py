@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
@@ -24,33 +24,34 @@ def source_id(index: Index, path: str) -> int:
 def related(index: Index, path: str, digits: int | None = None) -> DataFrame:
     """COLUMNS of all related files, unordered."""
     source = source_id(index, path)
-    pairs = index.frequencies.select("term", "doc_id")
-    candidates = pairs.where(F.col("doc_id") != source)
-    own = index.symbols.where((F.col("doc_id") == source) & (F.col("visibility") != "Private") & ~F.lower("name").isin(*GENERIC_SYMBOLS))
+    pairs = index.pairs
+    is_source = F.col("doc_id") == source
+    own = index.symbols_where(is_source).where(is_source & (F.col("visibility") != "Private") & ~F.lower("name").isin(*GENERIC_SYMBOLS))
     first = F.get(text.source_tokens(F.col("name")), 0)["s"]
     names = own.select(F.lower(first).alias("term"), "name", F.struct("line", paths.ordinal(F.col("kind"), SYMBOL_KINDS).alias("k"), "name").alias("o")).where("term is not null")
     names = names.groupBy("term").agg(F.max_by("name", "o").alias("name"))
-    # Each of the three small sides is one document's: its symbols, its stem, its terms.
-    by_symbol = candidates.join(F.broadcast(names), "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "name"))).alias("s"))
-    by_symbol = by_symbol.select("doc_id", F.col("s.name").alias("symbols"))
-    stem = index.corpus.where(F.col("doc_id") == source).select(F.explode(text.terms(paths.stem(F.col("relative_path")))).alias("term"))
-    by_stem = candidates.join(F.broadcast(stem), "term").groupBy("doc_id").agg(F.array_sort(F.collect_list("term")).alias("file_terms"))
+    stem = index.corpus.where(is_source).select(F.explode(text.terms(paths.stem(F.col("relative_path")))).alias("term"))
     n = index.corpus.agg(F.count(F.lit(1)).alias("n_docs"))
-    mine = pairs.where((F.col("doc_id") == source) & (F.length("term") >= 3)).select("term")
-    rare = index.frequencies.join(F.broadcast(mine), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(2, 6))
+    mine = pairs.where(is_source & (F.length("term") >= 3)).select("term")
+    rare = pairs.join(F.broadcast(mine), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(2, 6))
     weighed = rare.crossJoin(F.broadcast(n)).select("term", F.log(1 + F.col("n_docs") / F.col("df")).alias("w"))
-    top = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("w"), "term"))
-    shared = candidates.join(F.broadcast(weighed), "term").withColumn("top", top).where(F.col("top") <= MAX_SHARED_TERMS)
-    shared = shared.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("top", "term", "w"))).alias("t"))
-    shared = shared.select("doc_id", F.col("t.term").alias("shared_terms"), F.aggregate("t", F.lit(0.0), lambda a, x: a + x["w"]).alias("w"))
-    met = by_symbol.join(by_stem, "doc_id", "full").join(shared, "doc_id", "full").join(index.corpus.select("doc_id", "relative_path", "category"), "doc_id")
-    none = F.array().cast("array<string>")
-    met = met.withColumns({c: F.coalesce(c, none) for c in ("symbols", "file_terms", "shared_terms")})
+    # One document's symbols, its stem and its rare terms: a small table, which every other document meets once.
+    no_name, no_weight = F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("w")
+    evidence = names.select("term", "name", no_weight, F.lit("symbol").alias("by")).union(stem.select("term", no_name, no_weight, F.lit("stem"))).union(weighed.select("term", no_name, "w", F.lit("shared")))
+    hits = pairs.where(~is_source).join(F.broadcast(evidence), "term")
+    of = lambda by, x: F.sort_array(F.collect_list(F.when(F.col("by") == by, x)))
+    met = hits.groupBy("doc_id").agg(
+        of("symbol", F.struct("term", "name")).alias("s"), of("stem", F.col("term")).alias("file_terms"), of("shared", F.struct((-F.col("w")).alias("order"), "term", "w")).alias("t")
+    )
+    met = met.withColumn("t", F.slice("t", 1, MAX_SHARED_TERMS))
+    total = F.when(F.size("t") > 0, F.aggregate("t", F.lit(0.0), lambda a, x: a + x["w"]))
+    met = met.select("doc_id", F.col("s.name").alias("symbols"), "file_terms", F.col("t.term").alias("shared_terms"), total.alias("w"))
+    met = met.where((F.size("symbols") > 0) | (F.size("file_terms") > 0) | (F.size("shared_terms") >= 2))
+    met = met.join(index.corpus.select("doc_id", "relative_path", "category"), "doc_id")
     s, f, t = F.size("symbols"), F.size("file_terms"), F.size("shared_terms")
     score = s * SYMBOL_WEIGHT + f * FILE_TERM_WEIGHT + F.coalesce("w", F.lit(0.0)) + paths.category_value(F.col("category"), RELATED_PRIOR)
     confidence = F.when((s > 0) & ((f > 0) | (t >= 2)), "High").when((s > 0) | (f > 0) | (t >= 3), "Medium").otherwise("Low")
-    kept = met.where((s > 0) | (f > 0) | (t >= 2))
-    return kept.withColumns({"score": F.round(score, digits) if digits is not None else score, "confidence": confidence}).select(*COLUMNS)
+    return met.withColumns({"score": F.round(score, digits) if digits is not None else score, "confidence": confidence}).select(*COLUMNS)
 
 
 def ranked(index: Index, path: str, limit: int | None = RELATED_LIMIT, digits: int | None = None) -> DataFrame:

@@ -30,13 +30,21 @@ PAGE = (
 )
 TOML = f"CASE WHEN p_partkey % 50 = 0 THEN {ADJECTIVE} || '_' || {NOUN} ELSE 'size_key' END || ' = ' || {SIZE} || {NL}"
 JSON = f"'{{\"wrap_key\": [{{\"' || CASE WHEN p_partkey % 3 = 0 THEN {NOUN} || '_' || {ADJECTIVE} ELSE 'other_key' END || '\": ' || {SIZE} || '}}]}}'".replace("{{", "{").replace("}}", "}")
+#: Parts whose files are made in one task.
+ROWS = 10_000
 FILES = [("src", "rs", RUST), ("docs", "md", PAGE), ("config", "toml", TOML), ("config", "json", JSON)]
 FIXED = [(-2, "Cargo.toml", '[package]\nname = "units"\n'), (-1, "src/main.rs", "use crate::unit_1;\nuse crate::{unit_2, unit_3};\nfn main() {}\n")]
 
 
+def spread(parts: DataFrame) -> DataFrame:
+    """The rows over tasks of ROWS parts at most: the table is small against the files made of it, so that one split of it would be the work of one task."""
+    n = max(parts.sparkSession.sparkContext.defaultParallelism, -(-parts.count() // ROWS))
+    return parts.repartition(n, "p_partkey")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, relative_path, content)"""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    parts = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_name", "p_size"))
     made = [F.struct(F.expr(f"4 * p_partkey + {j}").alias("doc_id"), F.expr(f"'{folder}/unit_' || {K} || '.{ext}'").alias("relative_path"), F.expr(text).alias("content")) for j, (folder, ext, text) in enumerate(FILES)]
     return parts.select(F.explode(F.array(*made)).alias("f")).select("f.*").union(spark.createDataFrame(FIXED, "doc_id long, relative_path string, content string"))
 
