@@ -13,7 +13,7 @@ def parts(path: Column) -> Column:
 
 
 def file_name(path: Column) -> Column:
-    return F.element_at(parts(path), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def extension(path: Column) -> Column:
@@ -34,7 +34,8 @@ def parent(path: Column) -> Column:
 def normalized(path: Column) -> Column:
     """Backslashes as slashes, without `.` and empty parts, `..` taking back the part before it."""
     step = lambda done, p: F.when(p.isin("", "."), done).when(p == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p)))
-    return F.array_join(F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step), "/")
+    walked = F.array_join(F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step), "/")
+    return F.when(path.rlike(r"(^|/)\.{0,2}(/|$)"), walked).otherwise(path)
 
 
 def order(path: Column) -> Column:
@@ -43,8 +44,7 @@ def order(path: Column) -> Column:
 
 
 def _beneath(path: Column, folder: str) -> Column:
-    above = F.transform(F.slice(parts(path), F.lit(1), F.size(parts(path)) - 1), F.lower)
-    return F.array_contains(above, folder)
+    return F.contains(F.concat(F.lit("/"), F.lower(path)), F.lit(f"/{folder}/"))
 
 
 def category(path: Column) -> Column:

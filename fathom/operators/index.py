@@ -72,7 +72,8 @@ class Index:
         """The frequencies of some terms. Texts in which none of them stands are not cut into tokens."""
         if self.saved:
             return self.frequencies.where(F.col("term").isin(*terms))
-        return self._counted(self._tokens_of(self.corpus.where(text.may_have(F.col("content"), terms))).where(F.col("term").isin(*terms)))
+        docs = self.corpus.where(text.may_have(F.col("content"), terms))
+        return self._counted(self._tokens_of(docs).where(F.col("term").isin(*terms)))
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -119,6 +120,11 @@ class Index:
         tokens = self._tokens_of(self.corpus.where(text.may_have(F.col("content"), [term])))
         return self._gathered(tokens.where(F.col("term") == term)).orderBy("doc_id")
 
+    def lines_of(self, term: str | None) -> DataFrame:
+        """(doc_id, line) of a term's tokens."""
+        docs = self.corpus.where(text.may_have(F.col("content"), [term] if term else []))
+        return self._tokens_of(docs).where(F.col("term") == F.lit(term)).select("doc_id", "line")
+
     def category_counts(self) -> DataFrame:
         """(ordinal, category, label, files) for every category, those without files too."""
         known = self.spark.createDataFrame([(i, c, n) for i, (c, n) in enumerate(zip(CATEGORIES, LABELS, strict=True))], "ordinal int, category string, label string")

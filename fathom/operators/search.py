@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,6 +57,13 @@ def exact_names(query: str, names: Column) -> Column:
     return F.when(names.rlike(f"^{text.NAME}$"), found).otherwise(literal)
 
 
+def symbols_named(index: Index, query: str) -> DataFrame:
+    """The symbols whose exact names stand in the query. A named symbol's file holds the name, so other files aren't parsed; an <anonymous> one has none to look for."""
+    words = index.spark.createDataFrame([(query,)], "q string").select(text.identifiers(F.col("q")).alias("w")).first().w
+    held = F.lit(True) if "<anonymous>" in query else reduce(lambda a, b: a | b, (F.contains(F.col("content"), F.lit(w)) for w in dict.fromkeys(words)), F.lit(False))
+    return index.symbols_where(held).where(exact_names(query, F.col("name")))
+
+
 def bm25(tf: Column, df: Column, length: Column, n_docs: Column, avg_len: Column) -> Column:
     idf = F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
     weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len))
@@ -72,24 +80,20 @@ def search(index: Index, query: str, match_all: bool = False) -> DataFrame:
     spark = index.spark
     groups = query_groups(spark, query)
     wanted = sorted({t for g in groups for t in g})
-    docs = index.documents
-    hits = index.frequencies.where(F.col("term").isin(*wanted) if wanted else F.lit(False))
-    # A row per query term: its document frequency and the groups it is in.
-    of = F.create_map(*(x for t in wanted for x in (F.lit(t), F.array(*(F.lit(i) for i, g in enumerate(groups) if t in g))))) if wanted else F.create_map()
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = (
-        hits.join(F.broadcast(df), "term")
-        .join(docs.select("doc_id", "token_count"), "doc_id")
-        .crossJoin(F.broadcast(index.stats))
-        .withColumn("part", bm25(F.col("tf"), F.col("df"), F.col("token_count"), F.col("n_docs"), F.col("avg_len")))
-        .withColumn("of", F.element_at(of, F.col("term")) if wanted else F.array().cast("array<int>"))
-    )
-    rolled = scored.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "part"))).alias("m"), F.array_distinct(F.flatten(F.collect_list("of"))).alias("g"), F.min("first_line").alias("line"))
+    hits = index.frequencies_of(wanted)
+    # A row per query term: its document frequency and the groups it is in. It reads all columns of hits, so that both use one exchange.
+    of = F.create_map(*(x for t in wanted for x in (F.lit(t), F.array(*(F.lit(i) for i, g in enumerate(groups) if t in g))))) if wanted else F.create_map().cast("map<string,array<int>>")
+    df = hits.groupBy("term").agg(F.sum(F.when((F.col("tf") > 0) & F.col("first_line").isNotNull(), 1)).alias("df"))
+    rolled = hits.join(F.broadcast(df), "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "tf", "df"))).alias("m"), F.min("first_line").alias("line"))
     if match_all:
-        rolled = rolled.where(F.size("g") == len(groups))
-    rolled = rolled.select("doc_id", "line", F.col("m.term").alias("matched_terms"), F.aggregate("m", F.lit(0.0), lambda a, x: a + x["part"]).alias("bm25"))
-    names = index.symbols.where(exact_names(query, F.col("name"))).groupBy("doc_id").agg(F.countDistinct("name").alias("names"))
-    met = rolled.join(docs, "doc_id").join(names, "doc_id", "left")
+        rolled = rolled.where(F.size(F.array_distinct(F.flatten(F.transform("m", lambda x: F.element_at(of, x["term"]))))) == len(groups))
+    # Other texts can't be results, so their words aren't counted and they aren't carried to the join.
+    docs = index.documents if index.saved else index.documents.where(text.may_have(F.col("content"), wanted))
+    met = rolled.join(docs, "doc_id").crossJoin(F.broadcast(index.stats))
+    part = lambda x: bm25(x["tf"], x["df"], F.col("token_count"), F.col("n_docs"), F.col("avg_len"))
+    met = met.withColumns({"matched_terms": F.col("m.term"), "bm25": F.aggregate("m", F.lit(0.0), lambda a, x: a + part(x))})
+    names = symbols_named(index, query).groupBy("doc_id").agg(F.countDistinct("name").alias("names"))
+    met = met.join(names, "doc_id", "left")
     factors = met.withColumns({
         "file_name": _groups_in(groups, text.terms(paths.stem(F.col("relative_path")))) * FILE_NAME_BOOST,
         "path": _groups_in(groups, text.terms(paths.parent(F.col("relative_path")))) * PATH_BOOST,

@@ -44,9 +44,18 @@ def spread(parts: DataFrame) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, relative_path, content)"""
-    parts = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_name", "p_size"))
-    made = [F.struct(F.expr(f"4 * p_partkey + {j}").alias("doc_id"), F.expr(f"'{folder}/unit_' || {K} || '.{ext}'").alias("relative_path"), F.expr(text).alias("content")) for j, (folder, ext, text) in enumerate(FILES)]
-    return parts.select(F.explode(F.array(*made)).alias("f")).select("f.*").union(spark.createDataFrame(FIXED, "doc_id long, relative_path string, content string"))
+    pieces = {"key": K, "brand": BRAND, "adjective": ADJECTIVE, "noun": NOUN, "size": SIZE}
+    parts = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", *(F.expr(e).alias(n) for n, e in pieces.items())))
+    path, content = "CASE j", "CASE j"
+    for j, (folder, ext, text) in enumerate(FILES):
+        for n, e in pieces.items():
+            text = text.replace(e, n)
+        path += f" WHEN {j} THEN '{folder}/unit_' || key || '.{ext}'"
+        content += f" WHEN {j} THEN {text}"
+    # A row per file before its text is made, so that a text which nobody reads, or which a filter drops, is not put together.
+    files = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(FILES) - 1))).alias("j"))
+    made = files.select(F.expr(f"{len(FILES)} * p_partkey + j").alias("doc_id"), F.expr(f"{path} END").alias("relative_path"), F.expr(f"{content} END").alias("content"))
+    return made.union(spark.createDataFrame(FIXED, "doc_id long, relative_path string, content string"))
 
 
 def sql() -> str:

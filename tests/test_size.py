@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom.functions import text
-from fathom.operators import related
+from fathom.operators import related, search
 from fathom.operators.index import Index
 from fathom.plans import repository
 from fathom.sources.corpus import from_rows
@@ -47,3 +47,15 @@ def test_documents_that_share_an_id_count_once(spark):
     twice = from_rows(spark, [("a.md", "tide"), ("b.md", "moon")]).withColumn("doc_id", F.lit(7))
     assert {(r.term, r.df) for r in Index(twice.union(twice)).term_df.collect()} == {("tide", 1), ("moon", 1)}
     assert [tuple(r) for r in Index(twice.union(twice)).postings.where("term = 'tide'").select("doc_id", "tf").collect()] == [(7, 2)]
+
+
+def rust(spark, *more):
+    return Index(from_rows(spark, [("src/tide.rs", "pub struct Gauge;\npub fn r#type() {}\nimpl [u8] {}"), ("src/sea.rs", "pub struct Sea;"), ("docs/gauge.md", "A Gauge of the\nharbour Gauge"), *more]))
+
+
+def test_boosts_parse_only_files_that_hold_a_name_of_the_query(spark):
+    index = rust(spark)
+    named = search.symbols_named(index, "new-Gauge r#type")
+    assert "Contains(content" in plan(named).split("MapInArrow", 1)[1] and sorted(r.name for r in named.collect()) == ["Gauge", "r#type"]
+    assert [r.name for r in search.symbols_named(index, "an <anonymous> type").collect()] == ["<anonymous>"]
+    assert search.symbols_named(index, " -- ").count() == 0
