@@ -51,15 +51,18 @@ def lookup(index: Index, name: str) -> Lookup:
 
     definitions: (doc_id, relative_path, line, kind, visibility, parent, snippet); references: (doc_id, relative_path, line, snippet).
     """
-    docs = index.documents.select("doc_id", "relative_path", "content")
-    found = index.symbols.where(F.col("name") == name)
+    docs = index.corpus.select("doc_id", "relative_path", "content")
+    # A file that defines the name holds it, unless it is the stand-in of a type without one.
+    held = F.contains(F.col("content"), F.lit(name)) if name != "<anonymous>" else F.lit(True)
+    found = index.symbols_where(held).where(F.col("name") == name)
+    defining = docs if name == "<anonymous>" else docs.where(held)
     shown = text.snippet(F.col("content"), F.col("line"))
     kind = paths.ordinal(F.col("kind"), SYMBOL_KINDS)
-    definitions = found.join(docs, "doc_id").select("doc_id", "relative_path", "line", "kind", "visibility", "parent", shown.alias("snippet")).orderBy("doc_id", "line", kind)
-    whole = index.spark.createDataFrame([(name,)], "q string").select(F.get(text.source_tokens(F.col("q")), 0)["s"].alias("s")).first().s
-    term = F.lower(F.lit(whole)) if whole is not None else F.lit(None).cast("string")
-    lines = index.tokens.where(F.col("term") == term).select("doc_id", "line").distinct()
+    definitions = found.join(defining, "doc_id").select("doc_id", "relative_path", "line", "kind", "visibility", "parent", shown.alias("snippet")).orderBy("doc_id", "line", kind)
+    term = index.spark.createDataFrame([(name,)], "q string").select(F.lower(F.get(text.words(F.col("q")), 0)).alias("s")).first().s
+    lines = index.lines_of(term).distinct()
     any_definition = found.select(F.lit(1).alias("one")).limit(1)
     others = lines.join(found.select("doc_id", "line"), ["doc_id", "line"], "left_anti").withColumn("one", F.lit(1)).join(F.broadcast(any_definition), "one", "left_semi")
-    references = others.join(docs, "doc_id").select("doc_id", "relative_path", "line", shown.alias("snippet")).orderBy("doc_id", "line")
+    texts = docs.where(text.may_have(F.col("content"), [term] if term else []))
+    references = others.join(texts, "doc_id").select("doc_id", "relative_path", "line", shown.alias("snippet")).orderBy("doc_id", "line")
     return Lookup(definitions, references)

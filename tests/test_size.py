@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom.functions import text
-from fathom.operators import related, search
+from fathom.operators import related, search, symbols
 from fathom.operators.index import Index
 from fathom.plans import repository
 from fathom.sources.corpus import from_rows
@@ -59,3 +59,11 @@ def test_boosts_parse_only_files_that_hold_a_name_of_the_query(spark):
     assert "Contains(content" in plan(named).split("MapInArrow", 1)[1] and sorted(r.name for r in named.collect()) == ["Gauge", "r#type"]
     assert [r.name for r in search.symbols_named(index, "an <anonymous> type").collect()] == ["<anonymous>"]
     assert search.symbols_named(index, " -- ").count() == 0
+
+
+def test_lookup_parses_only_files_that_hold_the_name(spark):
+    index = rust(spark)
+    found = symbols.lookup(index, "Gauge")
+    assert "Contains(content" in plan(found.definitions).split("MapInArrow", 1)[1] and [(r.doc_id, r.line) for r in found.definitions.collect()] == [(0, 1)]
+    assert "Contains(lower(content" in plan(found.references) and [(r.doc_id, r.line) for r in found.references.collect()] == [(2, 1), (2, 2)]
+    assert [r.kind for r in symbols.lookup(index, "<anonymous>").definitions.collect()] == ["Implementation"]
