@@ -73,6 +73,8 @@ class Index:
         if self.saved:
             return self.frequencies.where(F.col("term").isin(*terms))
         docs = self.corpus.where(text.may_have(F.col("content"), terms))
+        if self.corpus.where("doc_id is null").isEmpty():
+            docs = docs.where("doc_id is not null")  # as a join on doc_id adds it: plans that join these rows share their exchange with those that count them
         return self._counted(self._tokens_of(docs).where(F.col("term").isin(*terms)))
 
     @cached_property
@@ -99,7 +101,7 @@ class Index:
     @cached_property
     def symbols(self) -> DataFrame:
         """(doc_id, line, kind, name, visibility, parent)"""
-        return self._symbols_of(self._parsed)
+        return self._symbols_of(extract_symbols(self.corpus, failures=False))
 
     @staticmethod
     def _symbols_of(parsed: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ class Index:
 
     def symbols_where(self, cond: Column) -> DataFrame:
         """The symbols of the documents for which cond holds, perhaps of others too; no other file is parsed. cond is on columns of the corpus."""
-        return self.symbols if self.saved else self._symbols_of(extract_symbols(self.corpus.where(cond)))
+        return self.symbols if self.saved else self._symbols_of(extract_symbols(self.corpus.where(cond), failures=False))
 
     @cached_property
     def parse_failures(self) -> DataFrame:

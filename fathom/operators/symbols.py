@@ -17,19 +17,21 @@ if TYPE_CHECKING:
 SCHEMA = "doc_id long, line int, kind string, name string, visibility string, parent string, failure string"
 
 
-def extract_symbols(corpus: DataFrame) -> DataFrame:
-    """A row per symbol of each Rust file, or one with the failure of a file that can't be read."""
+def extract_symbols(corpus: DataFrame, failures: bool = True) -> DataFrame:
+    """A row per symbol of each Rust file, or one with the failure of a file that can't be read. Without failures, files sure to fail may be passed over unread."""
 
     def run(batches):
         import pyarrow as pa
 
-        from ..functions.rust import ParseError, parse
+        from ..functions.rust import ParseError, hopeless, parse
 
         names = ["doc_id", "line", "kind", "name", "visibility", "parent", "failure"]
         kinds = [pa.int64(), pa.int32(), *[pa.string()] * 5]
         for b in batches:
             rows = []
             for doc, content in zip(b.column("doc_id").to_pylist(), b.column("content").to_pylist(), strict=True):
+                if not failures and hopeless(content or ""):
+                    continue
                 try:
                     rows += [(doc, *s, None) for s in parse(content or "").symbols]
                 except (ParseError, RecursionError) as e:

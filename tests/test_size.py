@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom.functions import text
+from fathom.functions.rust import ParseError, hopeless, parse
 from fathom.operators import related, search, symbols
 from fathom.operators.index import Index
 from fathom.plans import repository
@@ -67,3 +68,21 @@ def test_lookup_parses_only_files_that_hold_the_name(spark):
     assert "Contains(content" in plan(found.definitions).split("MapInArrow", 1)[1] and [(r.doc_id, r.line) for r in found.definitions.collect()] == [(0, 1)]
     assert "Contains(lower(content" in plan(found.references) and [(r.doc_id, r.line) for r in found.references.collect()] == [(2, 1), (2, 2)]
     assert [r.kind for r in symbols.lookup(index, "<anonymous>").definitions.collect()] == ["Implementation"]
+
+
+def test_searches_cut_only_texts_with_a_term_and_once(spark):
+    df = search.ranked(rust(spark, ("a.md", "harbour sea"), ("b.md", None)), "gauge harbour", match_all=True)
+    assert plan(df).count("Contains(lower(content") >= 2
+    assert [r.relative_path for r in df.collect()] == ["docs/gauge.md"]
+    ran = plan(df).split("Initial Plan")[0]
+    assert ran.count("posexplode(") == 1 and "ReusedExchange" in ran
+
+
+@pytest.mark.parametrize("source", ["The sea", "tide", "tide!()", "a::b!()", "tide /**/ !()", "fn a() {}", "safe fn a() {}", "b'x'", "r#\"x\"#", "  moon, sun", "use a;", ";", "auto trait T {}", "moon . x", "", "tide !(x);"])
+def test_texts_passed_over_unread_are_those_that_fail(source):
+    try:
+        parse(source)
+        assert not hopeless(source)
+    except ParseError:
+        pass
+    assert hopeless("The sea") and hopeless("  moon, sun") and not hopeless("tide !(x);")
