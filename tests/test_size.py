@@ -86,3 +86,9 @@ def test_texts_passed_over_unread_are_those_that_fail(source):
     except ParseError:
         pass
     assert hopeless("The sea") and hopeless("  moon, sun") and not hopeless("tide !(x);")
+
+
+def test_roles_are_counted_over_texts_with_a_term(spark):
+    index = rust(spark, ("a.md", "harbour sea"), ("b.md", "else"))
+    found = search.ranked(index, "gauge harbour").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    assert "Contains(lower(content" in plan(found) and {(r.category, r.n) for r in found.collect()} == {("SourceCode", 1), ("Documentation", 2)}
