@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text
 from fathom.functions.rust import ParseError, hopeless, parse
-from fathom.operators import related, search, symbols
+from fathom.operators import audit, related, search, symbols
 from fathom.operators.index import Index
 from fathom.plans import repository
 from fathom.sources.corpus import from_rows
@@ -92,3 +92,14 @@ def test_roles_are_counted_over_texts_with_a_term(spark):
     index = rust(spark, ("a.md", "harbour sea"), ("b.md", "else"))
     found = search.ranked(index, "gauge harbour").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     assert "Contains(lower(content" in plan(found) and {(r.category, r.n) for r in found.collect()} == {("SourceCode", 1), ("Documentation", 2)}
+
+
+def audited(spark):
+    index = rust(spark, ("docs/a.md", "`Gauge` `gone()` `src/no.rs` `a::b` `--x` `deep_key = 1` `fathom drop`"), ("conf/a.toml", "x_y = 1"))
+    return audit.unresolved(index, audit.references(index), ["index"], ["--limit"])
+
+
+def test_audits_read_each_kind_of_file_once(spark):
+    df = audited(spark)
+    assert sorted((r.kind, r.value) for r in df.collect()) == [("Command", "drop"), ("ConfigurationKey", "deep_key"), ("Module", "a::b"), ("Option", "--x"), ("Path", "src/no.rs"), ("Symbol", "gone")]
+    assert plan(df).split("Initial Plan")[0].count("MapInArrow") == 3  # Markdown, Rust, keys
