@@ -103,3 +103,9 @@ def test_audits_read_each_kind_of_file_once(spark):
     df = audited(spark)
     assert sorted((r.kind, r.value) for r in df.collect()) == [("Command", "drop"), ("ConfigurationKey", "deep_key"), ("Module", "a::b"), ("Option", "--x"), ("Path", "src/no.rs"), ("Symbol", "gone")]
     assert plan(df).split("Initial Plan")[0].count("MapInArrow") == 3  # Markdown, Rust, keys
+
+
+def test_high_findings_read_each_kind_of_file_once(spark):
+    df = audit.at_least(audited(spark), "high")
+    assert sorted(r.kind for r in df.collect()) == ["Command", "Option", "Path"]
+    assert plan(df).split("Initial Plan")[0].count("MapInArrow") <= 3
