@@ -47,8 +47,8 @@ def manifests(index: Index) -> DataFrame:
     return index.corpus.where(paths.file_name(F.col("relative_path")) == "Cargo.toml").select("relative_path", "content").mapInPandas(run, schema)
 
 
-def rust_facts(index: Index) -> DataFrame:
-    """(doc_id, has_tests, uses) of Rust files: tests of their own, and the crate's modules they use; files that can't be read have neither."""
+def rust_facts(index: Index, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, has_tests, uses) of Rust files, of those in docs if given: tests of their own, and the crate's modules they use; files that can't be read have neither."""
 
     def run(batches):
         import pyarrow as pa
@@ -65,7 +65,7 @@ def rust_facts(index: Index) -> DataFrame:
                     out.append((False, []))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t for t, _ in out], pa.bool_()), pa.array([u for _, u in out], pa.list_(pa.string()))], names=["doc_id", "has_tests", "uses"])
 
-    return index.corpus.where(_is_rust(F.col("relative_path"))).select("doc_id", "content").mapInArrow(run, "doc_id long, has_tests boolean, uses array<string>")
+    return (index.corpus if docs is None else docs).where(_is_rust(F.col("relative_path"))).select("doc_id", "content").mapInArrow(run, "doc_id long, has_tests boolean, uses array<string>")
 
 
 def entry_points(index: Index) -> DataFrame:
@@ -85,7 +85,9 @@ def sections(index: Index) -> DataFrame:
     """(section, relative_path): the long form, a row per path and role."""
     docs = index.corpus.select("doc_id", "relative_path", "category")
     entry = entry_points(index)
-    tested = docs.join(rust_facts(index).where("has_tests").select("doc_id", F.lit(True).alias("t")), "doc_id", "left")
+    # A file has tests of its own only where the word stands.
+    testing = index.corpus.where(F.contains("content", F.lit("test")))
+    tested = docs.join(rust_facts(index, testing).where("has_tests").select("doc_id", F.lit(True).alias("t")), "doc_id", "left")
     parts = {
         "entry_points": entry,
         "core_modules": docs.where("category = 'SourceCode'").join(entry, "relative_path", "left_anti"),
@@ -102,14 +104,16 @@ def sections(index: Index) -> DataFrame:
 
 def overview(index: Index) -> DataFrame:
     """One row: project_kind, package_name, the lists of sections(), workflow, manifest_error."""
-    by = lambda xs: F.transform(F.array_sort(F.transform(xs, lambda p: F.struct(F.split(p, "/").alias("o"), p.alias("p")))), lambda x: x["p"])
-    lists = sections(index).groupBy().agg(*(by(F.collect_list(F.when(F.col("section") == s, F.col("relative_path")))).alias(s) for s in LISTS))
+    # In the order of paths.order, by plain strings: with the least character for / they sort as their parts do.
+    by = lambda xs: F.transform(F.sort_array(xs), lambda p: F.replace(p, F.lit("\0"), F.lit("/")))
+    lists = sections(index).groupBy().agg(*(by(F.collect_list(F.when(F.col("section") == s, F.replace("relative_path", F.lit("/"), F.lit("\0"))))).alias(s) for s in LISTS))
     root = manifests(index).where("root = ''")
     fact = root.agg(F.count(F.lit(1)).alias("n"), F.max("package").alias("package_name"), *(F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("has_bin", "has_lib", "has_workspace")), F.max("error").alias("manifest_error"))
     rust = index.corpus.agg(F.coalesce(F.max(_is_rust(F.col("relative_path"))), F.lit(False)).alias("has_rust"))
     one = lists.crossJoin(F.broadcast(fact)).crossJoin(F.broadcast(rust))  # one row each
     first = F.coalesce(F.get(F.filter("entry_points", lambda p: (p == "src/main.rs") | p.endswith("/src/main.rs")), 0), F.get("entry_points", 0))
-    uses = rust_facts(index).join(index.corpus.select("doc_id", F.col("relative_path").alias("first")), "doc_id").select("first", "uses")
+    entries = index.corpus.join(entry_points(index), "relative_path", "left_semi")  # the first file is one of these
+    uses = rust_facts(index, entries).join(index.corpus.select("doc_id", F.col("relative_path").alias("first")), "doc_id").select("first", "uses")
     one = one.withColumn("first", first).join(uses, "first", "left")
     main = F.col("has_bin") | F.exists("entry_points", lambda p: (p == "src/main.rs") | p.startswith("src/bin/"))
     library = F.col("has_lib") | F.array_contains("entry_points", "src/lib.rs")

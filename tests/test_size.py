@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text
 from fathom.functions.rust import ParseError, hopeless, parse
-from fathom.operators import audit, related, search, symbols
+from fathom.operators import audit, overview, related, search, symbols
 from fathom.operators.index import Index
 from fathom.plans import repository
 from fathom.sources.corpus import from_rows
@@ -109,3 +109,11 @@ def test_high_findings_read_each_kind_of_file_once(spark):
     df = audit.at_least(audited(spark), "high")
     assert sorted(r.kind for r in df.collect()) == ["Command", "Option", "Path"]
     assert plan(df).split("Initial Plan")[0].count("MapInArrow") <= 3
+
+
+def test_overview_parses_only_files_that_can_matter_and_sorts_by_parts(spark):
+    index = rust(spark, ("src-x/a.rs", ""), ("src/main.rs", "use crate::tide;\nfn main() {}"), ("src/b/c.rs", "#[cfg(test)] mod t {}"), ("Cargo.toml", '[package]\nname = "a"'))
+    df = overview.overview(index)
+    got = df.first()
+    assert (got.core_modules, got.tests, got.workflow) == (["src/b/c.rs", "src/sea.rs", "src/tide.rs", "src-x/a.rs"], ["src/b/c.rs"], ["main", "tide"])
+    assert "Contains(content" in plan(df) and "array_sort" not in plan(df)
