@@ -50,6 +50,8 @@ class Index:
     @cached_property
     def postings(self) -> DataFrame:
         """(term, doc_id, tf, positions, lines, first_line)"""
+        if self._keyed:
+            return self._postings_in_rows()
         return self._gathered(self.tokens)
 
     @staticmethod
@@ -59,6 +61,24 @@ class Index:
             "term", "doc_id", "tf", F.col("p.position").alias("positions"), F.col("p.line").alias("lines"), "first_line"
         )
 
+    def _postings_in_rows(self) -> DataFrame:
+        """The same where each document is one row: its places sorted by term, and cut where the term changes."""
+        of_token = lambda t, i: F.transform(text.variants(t["s"]), lambda v: F.struct(v.alias("term"), i.alias("position"), t["line"].alias("line")))
+        places = F.sort_array(F.flatten(F.transform(text.source_tokens(F.col("content")), of_token)))
+        term = lambda i: F.get("s", i)["term"]
+        cuts = F.filter(F.sequence(F.lit(0), F.size("s")), lambda i: (i == 0) | (i == F.size("s")) | (term(i) != term(i - 1)))
+
+        def group(at, k):
+            end = F.get("cuts", k + 1)
+            run = F.sequence(at, end - 1)
+            each = lambda name: F.transform(run, lambda i: F.get("s", i)[name])
+            first = F.get("s", at)
+            return F.struct(first["term"].alias("term"), (end - at).cast("long").alias("tf"), each("position").alias("positions"), each("line").alias("lines"), first["line"].alias("first_line"))
+
+        cut = self.corpus.select("doc_id", places.alias("s")).where(F.size("s") > 0).select("doc_id", "s", cuts.alias("cuts"))
+        groups = F.transform(F.slice("cuts", 1, F.size("cuts") - 1), group)
+        return cut.select("doc_id", F.explode(groups).alias("g")).select("g.term", "doc_id", "g.tf", "g.positions", "g.lines", "g.first_line")
+
     @cached_property
     def frequencies(self) -> DataFrame:
         """(term, doc_id, tf, first_line): postings without their places, which need no gathering."""

@@ -117,3 +117,9 @@ def test_overview_parses_only_files_that_can_matter_and_sorts_by_parts(spark):
     got = df.first()
     assert (got.core_modules, got.tests, got.workflow) == (["src/b/c.rs", "src/sea.rs", "src/tide.rs", "src-x/a.rs"], ["src/b/c.rs"], ["main", "tide"])
     assert "Contains(content" in plan(df) and "array_sort" not in plan(df)
+
+
+def test_postings_need_no_exchange(spark):
+    index = rust(spark, ("a.md", "Tide-pool tide\n\nPool TidePool"), ("b.md", None), ("c.md", "--"))
+    assert "Exchange" not in plan(index.postings) and plan(index._gathered(index.tokens)).count("Exchange") >= 1
+    assert sorted(index.postings.collect()) == sorted(index._gathered(index.tokens).collect())
