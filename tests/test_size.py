@@ -123,3 +123,10 @@ def test_postings_need_no_exchange(spark):
     index = rust(spark, ("a.md", "Tide-pool tide\n\nPool TidePool"), ("b.md", None), ("c.md", "--"))
     assert "Exchange" not in plan(index.postings) and plan(index._gathered(index.tokens)).count("Exchange") >= 1
     assert sorted(index.postings.collect()) == sorted(index._gathered(index.tokens).collect())
+
+
+def test_related_files_read_texts_twice(spark):
+    index = rust(spark, ("a.txt", "harbour"), ("b.txt", "harbour sea"))
+    df = related.related(index, "docs/gauge.md")
+    assert df.count() == 1
+    assert not any("hashpartitioning(term" in x and "doc_id" in x for x in plan(df).splitlines()) and "posexplode" not in plan(df)
