@@ -130,3 +130,9 @@ def test_related_files_read_texts_twice(spark):
     df = related.related(index, "docs/gauge.md")
     assert df.count() == 1
     assert not any("hashpartitioning(term" in x and "doc_id" in x for x in plan(df).splitlines()) and "posexplode" not in plan(df)
+
+
+def test_summary_counts_terms_without_their_documents(spark):
+    df = rust(spark, ("b.md", None)).summary()
+    assert not any("hashpartitioning(term" in x and "doc_id" in x for x in plan(df).splitlines()) and "posexplode" not in plan(df)
+    assert tuple(df.first())[:5] == (4, 4, 13, 16, 18)
